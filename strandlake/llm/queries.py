@@ -10,6 +10,7 @@ from .common import table
 from .chat import format_conversations
 from .packing import pack_documents
 from .secrets import scan_secrets
+from .simhash import simhash_classes
 from .tokens import count_tokens
 
 #: Where the public tokenizer files are; any folder or resolver with the same file names does.
@@ -23,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"), shingle=3, limit=2)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
@@ -41,6 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op7_secret_scan": op7_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
