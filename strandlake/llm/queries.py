@@ -14,6 +14,8 @@ from .packing import pack_documents
 from .quality import classify
 from .secrets import scan_secrets
 from .simhash import simhash_classes
+from .substrings import remove_earlier
+from .suffixes import remove_repeats
 from .tokens import count_tokens
 
 #: Where the public tokenizer files are; any folder or resolver with the same file names does.
@@ -35,6 +37,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=3, limit=2)
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=200)
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_earlier(table(spark, sf_dir, "documents"), window=13)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_suffix_arrays": op4_suffix_arrays,
+    "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality": op8_quality,
