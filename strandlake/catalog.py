@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+FAMILIES = ("scalar",)
+
+
+def _all(kind: str) -> dict:
+    return {k: v for name in FAMILIES for k, v in getattr(import_module(f"strandlake.plans.{name}").family, kind).items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return _all("queries")
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return _all("oracles")
