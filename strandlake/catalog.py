@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("scalar",)
+FAMILIES = ("scalar", "codes")
 
 
 def _all(kind: str) -> dict:

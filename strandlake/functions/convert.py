@@ -137,8 +137,7 @@ def rotate_encode(strand: Column, first: str = "A") -> Column:
     names = ("A", "C", "G", "T")
     start = F.struct(F.lit("").alias("out"), F.lit(first).alias("prev"), *[F.lit(0).alias(b) for b in names])
 
-    def step(acc: Column, i: Column) -> Column:
-        b = F.substr(strand, i + 1, F.lit(1))
+    def step(acc: Column, b: Column) -> Column:
         other = F.translate(b, "ACGT", "TGCA")
         count = {n: acc[n] for n in names}
         ahead = F.lit(False)
@@ -147,7 +146,8 @@ def rotate_encode(strand: Column, first: str = "A") -> Column:
         c = F.when(ahead | (b == acc["prev"]), other).otherwise(b)
         return F.struct(F.concat(acc["out"], c).alias("out"), c.alias("prev"), *[(count[n] + F.when(c == n, 1).otherwise(0)).alias(n) for n in names])
 
-    return F.aggregate(indexes(F.length(strand)), start, step, lambda acc: acc["out"])
+    letters = F.filter(F.split(strand, ""), lambda b: b != "")
+    return F.aggregate(letters, start, step, lambda acc: acc["out"])
 
 
 def rotate_decode(strand: Column) -> Column:

@@ -50,7 +50,7 @@ def suffix_overlap(a: Column, b: Column) -> Column:
     """Length of the longest end of ``a`` (or all of ``b`` inside it) that begins ``b``; the leftmost place counts."""
     la, lb = F.length(a), F.length(b)
     places = F.filter(indexes(la), lambda i: F.substr(a, i + 1, F.least(lb, la - i)) == F.substr(b, F.lit(1), F.least(lb, la - i)))
-    return F.coalesce(F.least(lb, la - F.try_element_at(places, F.lit(1))), F.lit(0))
+    return F.when(F.size(places) > 0, F.least(lb, la - F.try_element_at(places, F.lit(1)))).otherwise(0)
 
 
 def overlap_distance(a: Column, b: Column) -> Column:
