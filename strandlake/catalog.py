@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("scalar", "codes")
+FAMILIES = ("scalar", "codes", "channel", "results")
 
 
 def _all(kind: str) -> dict:

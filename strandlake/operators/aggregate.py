@@ -22,7 +22,7 @@ def majority_vote(reads: DataFrame, key: str, values: str, weight: Column | None
     return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias(values))
 
 
-def last_vote(reads: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+def last_vote(reads: DataFrame, key: str, order: str | Column, *columns: str) -> DataFrame:
     return reads.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in columns])
 
 
@@ -78,9 +78,9 @@ def merge_stats(*stores: DataFrame) -> DataFrame:
     return both.groupBy("name", "kind", "pos", "key").agg(F.sum("value").alias("value"))
 
 
-def rolling_means(df: DataFrame, key: list[str], pos: str, value: str, window: int) -> DataFrame:
+def rolling_means(df: DataFrame, key: list[str], order: list[str], value: str, window: int) -> DataFrame:
     """Arithmetic, geometric and harmonic mean of each full window that starts at a row."""
-    w = W.partitionBy(*key).orderBy(pos).rowsBetween(0, window - 1)
+    w = W.partitionBy(*key).orderBy(*order).rowsBetween(0, window - 1)
     x = F.col(value)
     out = df.withColumns({"_n": F.count(x).over(w), "arithmetic": F.avg(x).over(w), "geometric": F.exp(F.avg(F.log(x)).over(w)), "harmonic": F.lit(float(window)) / F.sum(1 / x).over(w)})
     return out.where(F.col("_n") == window).drop("_n")

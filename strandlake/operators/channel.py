@@ -71,7 +71,7 @@ def mutate(dna: Column, limit: Column | int, seed: int, *ids: Column, rates: Col
         b = at(dna, i)
         hit = u32(seed, "site", *ids, i) < (F.coalesce(F.try_element_at(rates, i + 1), F.lit(0)) if rates is not None else limit)
         kind, base = u32(seed, "site", *ids, i, lane=1) % 3, u32(seed, "site", *ids, i, lane=2)
-        other = F.substr(F.translate(F.lit("ACGT"), b, ""), (base % 3).cast("int") + 1, F.lit(1))
+        other = F.substr(F.replace(F.lit("ACGT"), b, F.lit("")), (base % 3).cast("int") + 1, F.lit(1))
         extra = F.substr(F.lit("ACGT"), (base % 4).cast("int") + 1, F.lit(1))
         return F.when(~hit, b).when(kind == 0, other).when(kind == 1, "").otherwise(F.concat(extra, b))
 
