@@ -37,11 +37,16 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_round
     raise RuntimeError("components did not settle")
 
 
-def cluster_reads(pairs: DataFrame, min_size: int = 4) -> DataFrame:
-    """Components of at least ``min_size`` reads."""
-    labels = connected_components(pairs)
-    large = labels.groupBy("cluster").count().where(F.col("count") >= min_size).select("cluster")
-    return labels.join(large, "cluster").select("id", "cluster")
+def cluster_reads(members: DataFrame, pairs: DataFrame, min_size: int = 4) -> DataFrame:
+    """(id, cluster) of clusters with at least ``min_size`` reads.
+
+    ``members`` has id and first, the read that stands for its copies; ``pairs``
+    links such reads (a, b), so copies are never paired with each other.
+    """
+    labels = connected_components(pairs).withColumnRenamed("id", "first")
+    placed = members.join(labels, "first", "left").select("id", F.coalesce("cluster", "first").alias("cluster"))
+    large = placed.groupBy("cluster").count().where(F.col("count") >= min_size).select("cluster")
+    return placed.join(large, "cluster").select("id", "cluster")
 
 
 def align(a: str, b: str) -> tuple[str, str]:

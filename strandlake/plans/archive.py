@@ -13,7 +13,7 @@ from ..operators import cluster as G
 from ..operators import pipeline as P
 from ..streaming import reads as S
 from .base import STRANDS, Family, big, strands, table
-from .results import _BANDS, _NEAR, _pairs
+from .results import _BANDS, _NEAR, _pairs, distinct_strands
 
 family = Family()
 add = family.add
@@ -35,9 +35,11 @@ def rejected_reads(spark, sf):
     return line.rejected(coded.withColumn("dna", F.when(F.col("id") % 4 == 0, F.lit("GC" * 60)).otherwise(F.col("dna")))).select("id")
 
 
-@add("lsh_cluster", f"{_BANDS.replace('WITH s0', 'WITH RECURSIVE s0')}, n AS ({_NEAR}), e AS (SELECT a AS x, b AS y FROM n UNION SELECT b, a FROM n), r(id, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id WHERE r.root < e.y), c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id) SELECT id, cluster FROM c QUALIFY count(*) OVER (PARTITION BY cluster) >= 4")
+@add("lsh_cluster", f"{_BANDS.replace('WITH s0', 'WITH RECURSIVE s0')}, n AS ({_NEAR}), e AS (SELECT a AS x, b AS y FROM n UNION SELECT b, a FROM n), r(id, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id WHERE r.root < e.y), c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id), m AS (SELECT s.id, coalesce(c.cluster, u.id) AS cluster FROM strands s JOIN u ON s.dna = u.dna LEFT JOIN c ON c.id = u.id) SELECT id, cluster FROM m QUALIFY count(*) OVER (PARTITION BY cluster) >= 4")
 def lsh_cluster(spark, sf):
-    return G.cluster_reads(_pairs(spark, sf), 4)
+    first = distinct_strands(spark, sf).withColumnRenamed("id", "first")
+    members = strands(spark, sf).join(first, "dna").select("id", "first")
+    return G.cluster_reads(members, _pairs(spark, sf), 4)
 
 
 @add("msa_star")

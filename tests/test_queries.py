@@ -10,7 +10,7 @@ import pytest
 from strandlake import catalog
 
 SMALL = "/root/testdata/sf0.001"
-SLOW = {"archive_roundtrip", "rs_outer_decode", "lsh_pairs"}
+SLOW = {"archive_roundtrip", "rs_outer_decode"}
 
 
 @pytest.fixture(scope="module")
