@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import map_arrow, materialize, require, texts
 
 #: Labelled documents that the models are fitted on, at most: those of the lowest hash of doc_id.
-SAMPLE = 8_000
+SAMPLE = 5_000
 #: Words and signs that a model may weigh.
 FEATURES = 1_500
 MIN_DOCS = 4
@@ -43,7 +43,7 @@ def tokens_of(text: str) -> np.ndarray:
     """CRC-32 of each distinct lower-case word, word beginning or run of signs."""
     words = set(_TOKEN.findall(text.lower()))
     heads = {f"^{w[:n]}" for n in PREFIXES for w in words if len(w) > n}
-    return np.fromiter(map(zlib.crc32, map(str.encode, words | heads)), np.int64)
+    return np.fromiter(map(zlib.crc32, map(str.encode, words | heads)), np.uint32).view(np.int32)
 
 
 def shape_of(text: str) -> list[float]:
@@ -128,11 +128,11 @@ def _features(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = texts(batch.column(1))
         return pa.RecordBatch.from_arrays(
-            [pa.array([tokens_of(t) for t in rows], pa.list_(pa.int64())), pa.array([shape_of(t) for t in rows], pa.list_(pa.float64())), *batch.columns[2:]],
+            [pa.array([tokens_of(t) for t in rows], pa.list_(pa.int32())), pa.array([shape_of(t) for t in rows], pa.list_(pa.float64())), *batch.columns[2:]],
             ["tokens", "shape", *batch.schema.names[2:]],
         )
 
-    return map_arrow(docs, run, "tokens array<bigint>, shape array<double>, quality int, toxic int")
+    return map_arrow(docs, run, "tokens array<int>, shape array<double>, quality int, toxic int")
 
 
 def fit_models(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict[str, LogisticModel]:
@@ -196,8 +196,8 @@ def site_posteriors(scored: DataFrame, host: str = "_host", path: str = "_path")
     return both.select(host, path, *[((F.col(f"hp_{h}") * F.lit(float(kp[h] or 1.0)) + F.col(f"s_{h}")) / (F.lit(float(kp[h] or 1.0)) + F.col("n"))).alias(f"_prior_{h}") for h in HEADS]), means
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE, min_quality: float = 0.5, max_toxic: float = 0.5) -> DataFrame:
-    """``docs``, all columns, with p_quality, p_toxic, site priors and keep.
+def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE, min_quality: float = 0.5, max_toxic: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """``docs``, all columns (without text if not ``keep_text``), with p_quality, p_toxic, site priors and keep.
 
     ``docs`` has doc_id and text and, if there are any, columns that name a host
     and a path within it; ``labels`` has doc_id, quality and toxic (0, 1 or null).
@@ -211,21 +211,21 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     models = fit_models(docs, labels, sample=sample)
     site = {k: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for k, c in (("_host", host), ("_path", path))}
     scored = score_documents(docs.withColumns(site), models)
-    light = score_documents(docs.select("text", *[c.alias(k) for k, c in site.items()]), models).drop("text")
-    sites, means = site_posteriors(materialize(light, "scores"))
+    scored = materialize(scored if keep_text else scored.drop("text"), "scores")
+    sites, means = site_posteriors(scored.select("_host", "_path", *[f"_logit_{h}" for h in HEADS]))
     sites = materialize(sites, "sites")
     if sites.count() <= BROADCAST_SITES:
         joined = scored.join(F.broadcast(sites), ["_host", "_path"])
     else:
         spread = sites.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        joined = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(spread, ["_host", "_path", "_salt"])
+        joined = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["_host", "_path", "_salt"])
 
     def chance(head: str) -> Column:
         prior = F.col(f"_prior_{head}")
         odds = F.col(f"_logit_{head}") + F.log(prior / (1 - prior)) - float(np.log(means[head] / (1 - means[head])))
         return 1 / (1 + F.exp(-odds))
 
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], chance("quality").alias("p_quality"), chance("toxic").alias("p_toxic"), F.col("_prior_quality").alias("site_quality"), F.col("_prior_toxic").alias("site_toxic"))
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"], chance("quality").alias("p_quality"), chance("toxic").alias("p_toxic"), F.col("_prior_quality").alias("site_quality"), F.col("_prior_toxic").alias("site_toxic"))
     return out.withColumn("keep", (F.col("p_quality") >= min_quality) & (F.col("p_toxic") < max_toxic))
 
 

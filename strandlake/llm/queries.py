@@ -56,7 +56,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "source", "lang", "p_quality", "p_toxic", "site_quality", "site_toxic", "keep")
+    return classify(docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "source", "lang", "p_quality", "p_toxic", "site_quality", "site_toxic", "keep")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
