@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Buckets up to this size are compared whole; larger ones by pivots.
 SMALL = 200
 #: Rows of a bucket that one task takes; larger buckets are dealt as pairs of chunks.
 CHUNK = 4096
 PIVOTS = 16
+#: Large buckets that are broadcast with their sizes; more are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,8 +132,10 @@ def bucket_links(members: DataFrame, limit: int) -> DataFrame:
     is dealt as all pairs of its chunks, whose tasks hold twice ``CHUNK`` rows at
     most.  A task gives a link for each row that isn't the first of its component.
     """
-    sizes = members.groupBy("key").count().where(F.col("count") > 1).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "key").select(
+    # Only large buckets need a number of chunks, so members are dealt once and not joined with all sizes.
+    large = materialize(members.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large")
+    known = F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large
+    dealt = members.join(known, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
         "key", "id", "code", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
     )
     # pair (i, j), i <= j, is part i * chunks + j; a lone chunk is part 0

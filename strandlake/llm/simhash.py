@@ -143,6 +143,8 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     coded = materialize(fingerprints(ids, shingle, lanes).select("id", "code"), "fingerprints")
     bands = [(a, band) for a in range(0, bits - band + 1, band)]
     classes = _classes(coded, lanes, similarity_bits(similarity, bits), bands)
-    first = materialize(classes.groupBy(F.col("component").alias("id")).count().select("id"), "first")
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["id"]), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    lowest = F.lit(-(1 << 63)).cast("long")
+    first = materialize(classes.select(F.coalesce("component", lowest).alias("_id")).distinct(), "first")
+    # both the join and the choice among repeats deal rows by _id, so texts are shuffled once
+    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), lowest)).join(first, "_id", "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"]).select(*docs.columns)
