@@ -5,15 +5,14 @@ merged first, so copies of any number are one row from then on.  Distinct ones
 meet in buckets of equal bands and are linked by pivot distance tables
 (``hamming``); classes are connected components of the links.
 
-Two modes share everything but their bands.  A small threshold takes one band
-more than it allows bits to differ, so by the pigeonhole principle no link is
-missed.  A similarity threshold takes as many bands as find a pair at the
-threshold with the given probability.
+There is one band more than bits may differ, so by the pigeonhole principle no
+link is missed.  The pipeline's stage asks for a similarity of shingle sets, which
+fingerprints only estimate; it takes the sets themselves (``jaccard``).
 """
 
 from __future__ import annotations
 
-import math
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 from .common import map_arrow, materialize, require, texts
 from .components import components
 from .hamming import bucket_links
+from .jaccard import similar_classes
 
 SEED = 42
 #: Odd constants that derive further 64-bit hashes of a shingle from its first.
@@ -122,27 +122,19 @@ def simhash_classes(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> Dat
     return coded.join(materialize(classes, "classes"), "code").select("doc_id", F.lower(F.hex("code")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def similarity_bits(similarity: float, bits: int) -> int:
-    """Bits by which fingerprints of equal-sized sets with this Jaccard similarity differ on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return math.floor(bits * math.acos(cosine) / math.pi)
-
-
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, band: int = 12) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, all columns, with one row of each class of near duplicates: that of the smallest doc_id.
 
-    Documents are linked when their fingerprints of ``lanes`` times 64 bits differ
-    by no more bits than shingle sets of the given similarity do on average.
+    Documents are linked when their sets of shingles have a Jaccard similarity of
+    ``similarity`` or more, and by nothing else (``jaccard``: fingerprint bands short
+    enough to find such pairs would also bring together most of a large corpus).
     Texts without words are copies of one another.  Rows of one doc_id are one
     node; of those that also repeat the text, one stays.  Rows without doc_id are
-    represented by any of their class that has one, and stay where none has.
+    represented by a copy that has one, and stay where none has.
     """
     require(docs, "doc_id", "text")
-    bits = 64 * lanes
     ids = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    coded = materialize(fingerprints(ids, shingle, lanes).select("id", "code"), "fingerprints")
-    bands = [(a, band) for a in range(0, bits - band + 1, band)]
-    classes = _classes(coded, lanes, similarity_bits(similarity, bits), bands)
+    classes = similar_classes(ids, partial(shingle_hashes, words=shingle), similarity)
     lowest = F.lit(-(1 << 63)).cast("long")
     first = materialize(classes.select(F.coalesce("component", lowest).alias("_id")).distinct(), "first")
     # both the join and the choice among repeats deal rows by _id, so texts are shuffled once

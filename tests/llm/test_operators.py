@@ -132,6 +132,38 @@ def test_near_duplicates_keep_one_of_each_class(docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(words, changes, at):
+    return " ".join(f"new{at}x{i}" if i in changes else w for i, w in enumerate(words))
+
+
+def check_near_duplicates(spark, pairs):
+    data = [t for p in pairs for t in p]
+    want = classes(len(data), [(i, i + 1) for i in range(0, len(data), 2) if jaccard(data[i], data[i + 1]) >= 0.8])
+    frame = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()) == sorted(set(want))
+
+
+def test_near_duplicates_at_08_to_09_are_found(spark):
+    r, pairs = random.Random(8), []
+    for k in range(400):
+        words = [f"w{k}a{i}" for i in range(50 + k)]
+        pair = " ".join(words), edited(words, set(r.sample(range(4, len(words) - 4), max(1, len(words) // 60))), k)
+        if 0.8 <= jaccard(*pair) <= 0.92:
+            pairs.append(pair)
+    assert len(pairs) > 200 and sum(jaccard(*p) < 0.85 for p in pairs) > 50
+    check_near_duplicates(spark, pairs)
+
+
 def test_pivot_tables_lose_no_link():
     from strandlake.llm.hamming import distances, link_bucket
 
