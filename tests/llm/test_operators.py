@@ -164,6 +164,25 @@ def test_near_duplicates_at_08_to_09_are_found(spark):
     check_near_duplicates(spark, pairs)
 
 
+def test_documents_below_08_are_kept(spark):
+    pairs = []
+    for k in range(120):
+        words = [f"w{k}a{i}" for i in range(10 + k % 12)]
+        pairs.append((" ".join(words), " ".join([*words[:-2], f"new{k}", "end"] if k % 12 > 2 else [*words[:-1], f"new{k}"])))
+    assert all(0.6 < jaccard(*p) < 0.8 for p in pairs)
+    check_near_duplicates(spark, pairs)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(100)]
+    data = [edited(words, set(r.sample(range(100), 1 + k % 4)), k) for k in range(150)]
+    want = classes(len(data), [(i, j) for i in range(len(data)) for j in range(i) if jaccard(data[i], data[j]) >= 0.8])
+    assert 1 < len(set(want)) < len(data)
+    frame = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(frame).collect()) == sorted(set(want))
+
+
 def test_pivot_tables_lose_no_link():
     from strandlake.llm.hamming import distances, link_bucket
 
