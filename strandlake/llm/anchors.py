@@ -6,11 +6,17 @@ can hold one window, and an anchor's context, the stretch of all windows that
 choose it, tells which do:
 
 * occurrences with equal contexts repeat each other whole;
-* a context unlike all others of its anchor needs a closer look, in a shard of
-  bounded size that holds each different context once.
+* a context that has the anchor and half of the rest of a window in common with
+  another needs a closer look, in a shard of bounded size that holds each
+  different context once; any other shares no window.
 
 Copies are merged where they are read, before anything is shuffled, so a passage
-in a third of all documents is a few rows for each block of input.
+in a third of all documents is a few rows for each batch of input.  Anchors with
+very many different contexts are known from a sample of the rows before anything
+is dealt; theirs are dealt by context, and settled window by window.
+
+A row is known by a key of its own, made when the input is first written to the
+shared folder; rows may share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -20,19 +26,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_buffer
+from .common import materialize, release, text_buffer
 
-#: Bytes of text worked on at once.
-BLOCK = 4_000_000
-#: Different contexts of one anchor that a shard takes; what is beyond goes window by window.
+#: Bytes of text worked on at once, but for one text that is longer; a worker holds about 100 bytes for each.
+BLOCK = 500_000
+#: Occurrences that are merged and handed on at once.
+MERGED = 200_000
+#: Different contexts of one anchor that go to one task; an anchor with more goes window by window.
 MAX_CLASSES = 20_000
+#: One row in so many is looked at to find such anchors, and so many of them are broadcast at most, the largest.
+SAMPLED, MAX_HOT = 64, 100_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-POS = (1 << 38) - 1
 
+# What an occurrence is when it is dealt: itself, a sure repeat, one that stands for copies; of an anchor with very many contexts.
+SURE, COPIES, SPREAD = 1, 2, 4
 # What becomes of an occurrence.
 WHOLE, NEED, REFERENCE, HOT = 0, 1, 2, 4
 
@@ -43,9 +54,12 @@ class _Powers:
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.table) < n:
-            full = np.full(max(n, BLOCK // 4), self.base, np.uint64)
+            full = np.full(n, self.base, np.uint64)
             full[0] = 1
-            self.table = np.multiply.accumulate(full)
+            full = np.multiply.accumulate(full)
+            if n > 2 * BLOCK:
+                return full
+            self.table = full
         return self.table[:n]
 
 
@@ -98,6 +112,11 @@ class Scheme:
         """How far before an anchor a window that chooses it can start."""
         return self.window - self.gram
 
+    @property
+    def half(self) -> int:
+        """A window that chooses an anchor goes on for so many symbols before or after it."""
+        return (self.reach + 1) // 2
+
     def choose(self, hashed: RangeHash, bounds: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of chosen k-grams and the documents they are in; ``bounds`` cuts symbols into documents."""
         total = int(bounds[-1])
@@ -125,154 +144,200 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tag, text: doc_id (null: the least long) and 22 bits of a hash that tell rows of one doc_id apart."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 22)).alias("tag"),
-        F.col("text"),
-    )
-
-
 #: Symbols of a block: (values, bounds of documents in symbols, rank of each k-gram or None).
 Symbols = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
-def occurrences(docs: DataFrame, scheme: Scheme, symbols: Symbols, ordered: bool) -> DataFrame:
-    """(pk, ctx, doc, at): anchors, contexts and places; copies within a block are settled here.
-
-    ``at`` holds tag, kind and place.  Kind 1 rows repeat something for sure, and
-    are dealt by a scattered key; kind 2 stands for copies.  ``ordered``: only what
-    repeats a smaller doc counts.
+def _half(hashed: RangeHash, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """32 bits of the hashes of stretches, never 0; 0 for those that pass their document's ends."""
+    out = np.zeros(len(start), np.uint64)
+    out[inside] = (hashed(start[inside], end[inside]) >> np.uint64(32)) | np.uint64(1)
+    return out
+
+
+def _found(data: np.ndarray, offsets: np.ndarray, scheme: Scheme, symbols: Symbols) -> tuple[np.ndarray, ...] | None:
+    """anchor, context, halves, document and place of the anchors of a block."""
+    values, bounds, rank = symbols(data, offsets, scheme.gram)
+    hashed = RangeHash(values)
+    at, d = scheme.choose(hashed, bounds, rank)
+    if not len(at):
+        return None
+    low, high = bounds[d], bounds[d + 1]
+    anchor = mix(hashed(at, at + scheme.gram)).view(np.int64)
+    ctx = hashed(np.maximum(low, at - scheme.reach), np.minimum(high, at + scheme.window))
+    ctx = mix(ctx + np.minimum(at - low, scheme.reach).astype(np.uint64)).view(np.int64)
+    before = _half(hashed, at - scheme.half, at + scheme.gram, at - scheme.half >= low)
+    after = _half(hashed, at, at + scheme.gram + scheme.half, at + scheme.gram + scheme.half <= high)
+    return anchor, ctx, ((before << np.uint64(32)) | after).view(np.int64), d, at - low
+
+
+def occurrences(rows: DataFrame, scheme: Scheme, symbols: Symbols, ordered: bool, hot: np.ndarray) -> DataFrame:
+    """(key, ctx, halves, doc, row, at): anchors, contexts and places; copies within a batch are settled here.
+
+    ``rows`` has row, doc (a long) and text.  ``at`` holds place and kind.  Sure
+    repeats are dealt by a scattered key, the occurrences of ``hot`` anchors by
+    their contexts, others by their anchors.  ``ordered``: only what repeats a
+    smaller doc counts; otherwise doc is 0.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(hot))
+
+    def merge(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        anchor, ctx, halves, doc, row, pos = (np.concatenate(x) for x in zip(*parts))
+        known = shared.value
+        spread = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor if len(known) else np.zeros(len(anchor), bool)
+        anchor = np.where(spread, mix(ctx.view(np.uint64) ^ np.uint64(BASE)).view(np.int64), anchor)
+        sort = np.lexsort((pos, row, doc, ctx, anchor))
+        anchor, ctx, halves, doc, row, pos, spread = (x[sort] for x in (anchor, ctx, halves, doc, row, pos, spread))
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])])
+        start = np.flatnonzero(new)
+        cls, size = np.cumsum(new) - 1, np.diff(np.append(start, len(new)))
+        sure = doc > doc[start][cls] if ordered else size[cls] > 1
+        key = np.where(sure, mix(row.view(np.uint64) * np.uint64(31) + pos.view(np.uint64)).view(np.int64), anchor)
+        columns = [key, ctx, halves, doc, row, (pos << 3) | np.where(sure, SURE, 0) | np.where(spread, SPREAD, 0)]
+        if not ordered:
+            rep = start[size > 1]
+            stands = [anchor[rep], ctx[rep], halves[rep], doc[rep], row[rep], (pos[rep] << 3) | COPIES | np.where(spread[rep], SPREAD, 0)]
+            columns = [np.concatenate(x) for x in zip(columns, stands)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "ctx", "halves", "doc", "row", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            doc_of, tag_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row_of, doc_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, data, offsets in blocks(batch.column(2)):
-                values, bounds, rank = symbols(data, offsets, scheme.gram)
-                hashed = RangeHash(values)
-                at, d = scheme.choose(hashed, bounds, rank)
-                if not len(at):
+                found = _found(data, offsets, scheme, symbols)
+                if found is None:
                     continue
-                anchor = mix(hashed(at, at + scheme.gram)).view(np.int64)
-                ctx = hashed(np.maximum(bounds[d], at - scheme.reach), np.minimum(bounds[d + 1], at + scheme.window))
-                ctx = mix(ctx + np.minimum(at - bounds[d], scheme.reach).astype(np.uint64)).view(np.int64)
-                doc, tag, pos = doc_of[first + d], tag_of[first + d], at - bounds[d]
-                sort = np.lexsort((pos, doc, ctx, anchor))
-                anchor, ctx, doc, tag, pos = anchor[sort], ctx[sort], doc[sort], tag[sort], pos[sort]
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])])
-                start = np.flatnonzero(new)
-                cls = np.cumsum(new) - 1
-                size = np.diff(np.append(start, len(new)))
-                if ordered:
-                    kind = np.where(doc > doc[start][cls], 1, 0)
-                else:
-                    kind = np.where(size[cls] > 1, 1, 0)
-                key = np.where(kind == 1, mix((doc * 31 + pos).view(np.uint64)).view(np.int64), anchor)
-                packed = (tag << 40) | (kind << 38) | pos
-                if not ordered:
-                    rep = start[size > 1]
-                    key, ctx, doc = np.append(key, anchor[rep]), np.append(ctx, ctx[rep]), np.append(doc, doc[rep])
-                    packed = np.append(packed, (tag[rep] << 40) | (2 << 38) | pos[rep])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, ctx, doc, packed)], ["pk", "ctx", "doc", "at"])
-
-    return docs.mapInArrow(run, "pk bigint, ctx bigint, doc bigint, at bigint")
-
-
-def settle(found: DataFrame, ordered: bool, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """(anchor, doc, at, role) of all occurrences that repeat something or may do so."""
-
-    def decide(pk: np.ndarray, ctx: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        kind = (at >> 38) & 3
-        sure = kind == 1
-        out = [(pk[sure], doc[sure], at[sure], np.full(sure.sum(), WHOLE))]
-        pk, ctx, doc, at, kind = (x[~sure] for x in (pk, ctx, doc, at, kind))
-        if len(pk):
-            sort = np.lexsort((at, doc, ctx, pk))
-            pk, ctx, doc, at, kind = (x[sort] for x in (pk, ctx, doc, at, kind))
-            new_anchor = np.concatenate([[True], pk[1:] != pk[:-1]])
-            new = new_anchor | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+                anchor, ctx, halves, d, pos = found
+                parts.append((anchor, ctx, halves, doc_of[first + d], row_of[first + d], pos))
+                held += len(pos)
+                if held >= MERGED:
+                    yield merge(parts)
+                    parts, held = [], 0
+        if parts:
+            yield merge(parts)
+
+    return rows.select("row", "doc", "text").mapInArrow(run, "key bigint, ctx bigint, halves bigint, doc bigint, row bigint, at bigint")
+
+
+def hot_anchors(rows: DataFrame, scheme: Scheme, symbols: Symbols, max_classes: int, sampled: int) -> np.ndarray:
+    """Anchors with more than about ``max_classes`` different contexts, by those in one row of ``sampled``.
+
+    How an anchor is dealt depends on it, not what is found.
+    """
+    some = occurrences(rows.where(F.pmod(F.xxhash64("row"), F.lit(sampled)) == 0), scheme, symbols, False, np.zeros(0, np.int64))
+    counts = some.where(F.col("at").bitwiseAND(F.lit(SURE)) == 0).groupBy("key", "ctx").agg(F.lit(1)).groupBy("key").count()
+    most = counts.where(F.col("count") > max_classes / sampled).orderBy(F.desc("count"), "key").limit(MAX_HOT)
+    return np.array([r["key"] for r in most.collect()], np.int64)
+
+
+def _shared_halves(group: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """Which classes have a half in common with another of their group."""
+    out = np.zeros(len(group), bool)
+    for half in (halves.view(np.uint64) >> np.uint64(32), halves.view(np.uint64) & np.uint64(0xFFFFFFFF)):
+        sort = np.lexsort((half, group))
+        same = (group[sort][1:] == group[sort][:-1]) & (half[sort][1:] == half[sort][:-1]) & (half[sort][1:] > 0)
+        out[sort[1:][same]] = True
+        out[sort[:-1][same]] = True
+    return out
+
+
+def settle(found: DataFrame, ordered: bool) -> DataFrame:
+    """(anchor, row, doc, at, role) of all occurrences that repeat something or may do so."""
+
+    def decide(key: np.ndarray, ctx: np.ndarray, halves: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        sure = at & SURE > 0
+        out = [(key[sure], row[sure], doc[sure], at[sure], np.full(sure.sum(), WHOLE))]
+        key, ctx, halves, doc, row, at = (x[~sure] for x in (key, ctx, halves, doc, row, at))
+        if len(key):
+            sort = np.lexsort((at, row, doc, ctx, key))
+            key, ctx, halves, doc, row, at = (x[sort] for x in (key, ctx, halves, doc, row, at))
+            new_key = np.concatenate([[True], key[1:] != key[:-1]])
+            new = new_key | np.concatenate([[True], ctx[1:] != ctx[:-1]])
             start = np.flatnonzero(new)
-            cls, group = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
-            classes = np.bincount(group[start])
-            many = classes[group] > 1
-            hot = np.where(classes[group] > max_classes, HOT, 0)
-            role = np.full(len(pk), -1)
+            cls, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+            spread = at & SPREAD > 0
+            hot = np.where(spread, HOT, 0)
+            closer = _shared_halves(group[start], halves[start])[cls] | spread
+            role = np.full(len(key), -1)
             if ordered:
                 own = doc[start][cls]
-                least = np.minimum.reduceat(doc, np.flatnonzero(new_anchor))[group]
+                least = np.minimum.reduceat(doc, np.flatnonzero(new_key))[group]
                 role[doc > own] = WHOLE
-                rest = many & (doc == own)
-                role[rest] = np.where(own[rest] > least[rest], NEED, REFERENCE) | hot[rest]
+                rest = closer & (doc == own)
+                role[rest] = np.where((own[rest] > least[rest]) | spread[rest], NEED, REFERENCE) | hot[rest]
                 picked = np.flatnonzero(role >= 0)
-                out.append((pk[picked], doc[picked], at[picked], role[picked]))
             else:
-                weight = np.bincount(cls) + np.bincount(cls, kind == 2).astype(np.int64)
+                copies = at & COPIES > 0
+                weight = np.bincount(cls) + np.bincount(cls, copies).astype(np.int64)
                 repeats = weight[cls] > 1
-                role[repeats & (kind != 2)] = WHOLE
-                role[many & ~repeats] = NEED | hot[many & ~repeats]
+                role[repeats & ~copies] = WHOLE
+                role[closer & ~repeats] = NEED | hot[closer & ~repeats]
                 picked = np.flatnonzero(role >= 0)
-                out.append((pk[picked], doc[picked], at[picked], role[picked]))
-                rep = start[many[start] & (weight > 1)]
-                out.append((pk[rep], doc[rep], at[rep], REFERENCE | hot[rep]))
+                rep = start[closer[start] & (weight > 1)]
+                out.append((key[rep], row[rep], doc[rep], at[rep], REFERENCE | hot[rep]))
+            out.append((key[picked], row[picked], doc[picked], at[picked], role[picked]))
         columns = [np.concatenate(c) for c in zip(*out)]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.int32())], ["anchor", "doc", "at", "role"])
+        columns[3] = columns[3] >> 3
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.int32())], ["anchor", "row", "doc", "at", "role"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(4)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            if cut:
-                yield decide(*(x[:cut] for x in rows))
-            held = [x[cut:] for x in rows]
-        if held is not None and len(held[0]):
-            yield decide(*held)
-
-    return found.repartition("pk").sortWithinPartitions("pk").mapInArrow(run, "anchor bigint, doc bigint, at bigint, role int")
-
-
-def contexts(docs: DataFrame, reps: DataFrame, scheme: Scheme, symbols: Symbols, ordered: bool) -> DataFrame:
-    """(anchor, doc, tag, start, role, data): the symbols around each occurrence, as 64-bit or 8-bit values."""
-    places = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "role")).alias("places"))
-    joined = docs.join(places, "doc").select("doc", "tag", "text", "places")
+            columns = [batch.column(i).to_numpy() for i in range(6)]
+            key = columns[0]
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if held and (cut or held[-1][0][-1] != key[0]):
+                yield decide(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in columns])))
+                held = []
+            elif cut:
+                yield decide(*(x[:cut] for x in columns))
+            held.append([x[cut:] for x in columns])
+        if held:
+            yield decide(*(np.concatenate(x) for x in zip(*held)))
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor bigint, row bigint, doc bigint, at bigint, role int")
+
+
+def contexts(rows: DataFrame, reps: DataFrame, scheme: Scheme, symbols: Symbols) -> DataFrame:
+    """(anchor, doc, row, start, role, data): the symbols around each occurrence, as 64-bit or 8-bit values."""
+    places = reps.groupBy("row").agg(F.collect_list(F.struct("anchor", "at", "role")).alias("places"))
+    joined = rows.join(places, "row").select("row", "doc", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags, docs_of, lists = batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(3)
+            row_of, doc_of, lists = batch.column(0), batch.column(1), batch.column(3)
+            ends = lists.offsets.to_numpy()
+            anchor, at, role = (lists.values.field(i).to_numpy() for i in range(3))
             for first, data, offsets in blocks(batch.column(2)):
                 values, bounds, _ = symbols(data, offsets, scheme.gram)
                 values = values if values.dtype == np.uint64 else values.astype(np.uint8)
-                out: list[tuple] = []
-                for d in range(len(bounds) - 1):
-                    for place in lists[first + d].as_py():
-                        if place["at"] >> 40 != tags[first + d]:
-                            continue
-                        p, lo, hi = place["at"] & POS, int(bounds[d]), int(bounds[d + 1])
-                        a, b = max(lo, lo + p - scheme.reach), min(hi, lo + p + scheme.window)
-                        out.append((place["anchor"], docs_of[first + d], tags[first + d], a - lo, place["role"], values[a:b].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "doc", "tag", "start", "role", "data"])
+                last = first + len(bounds) - 1
+                own = slice(ends[first], ends[last])
+                d = np.repeat(np.arange(len(bounds) - 1), np.diff(ends[first : last + 1]))
+                low, high, p = bounds[d], bounds[d + 1], bounds[d] + at[own]
+                a, b = np.maximum(low, p - scheme.reach), np.minimum(high, p + scheme.window)
+                pieces = [values[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
+                taken = pa.array(first + d, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[own], pa.int64()), doc_of.take(taken), row_of.take(taken), pa.array(a - low, pa.int64()), pa.array(role[own], pa.int32()), pa.array(pieces, pa.binary())],
+                    ["anchor", "doc", "row", "start", "role", "data"],
+                )
 
-    return joined.mapInArrow(run, "anchor bigint, doc bigint, tag bigint, start bigint, role int, data binary")
+    return joined.mapInArrow(run, "anchor bigint, doc bigint, row bigint, start bigint, role int, data binary")
 
 
-Shard = Callable[[list[int], list[int], list[int], list[int], list[int], list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: Of contexts' docs, rows, starts, roles and data: the numbers of contexts and the window starts, counted in the row, that are repeated.
+Shard = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def shards(ctx: DataFrame, scheme: Scheme, work: Shard, size: int) -> DataFrame:
-    """(doc, tag, s, e): repeated stretches that ``work`` finds among whole anchors, ``size`` bytes of contexts at a time.
-
-    ``work`` takes anchors, docs, tags, starts, roles and data, and gives the numbers
-    of contexts and the window starts, counted in the document, that are repeated.
-    """
+    """(row, s, e): repeated stretches that ``work`` finds among whole anchors, ``size`` bytes of contexts at a time."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        anchor, doc, tag, start, role, data = (list(c) for c in zip(*rows))
-        which, at = work(anchor, doc, tag, start, role, data)
+        _, doc, row, start, role, data = zip(*rows)
+        doc, row, start, role = (np.array(x, np.int64) for x in (doc, row, start, role))
+        which, at = work(doc, row, start, role, list(data))
         if not len(which):
             return None
         sort = np.lexsort((at, which))
@@ -280,8 +345,7 @@ def shards(ctx: DataFrame, scheme: Scheme, work: Shard, size: int) -> DataFrame:
         new = np.concatenate([[True], (which[1:] != which[:-1]) | (at[1:] > at[:-1] + scheme.window)])
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(at)) - 1
-        own = which[head]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(doc, np.int64)[own]), pa.array(np.array(tag, np.int64)[own]), pa.array(at[head], pa.int64()), pa.array(at[tail] + scheme.window, pa.int64())], ["doc", "tag", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(row[which[head]]), pa.array(at[head], pa.int64()), pa.array(at[tail] + scheme.window, pa.int64())], ["row", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -297,7 +361,7 @@ def shards(ctx: DataFrame, scheme: Scheme, work: Shard, size: int) -> DataFrame:
         if rows and (out := solve(rows)) is not None:
             yield out
 
-    return ctx.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc bigint, tag bigint, s bigint, e bigint")
+    return ctx.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "row bigint, s bigint, e bigint")
 
 
 def by_windows(ctx: DataFrame, scheme: Scheme, ordered: bool) -> DataFrame:
@@ -305,39 +369,61 @@ def by_windows(ctx: DataFrame, scheme: Scheme, ordered: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, doc, tag, start, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(data, np.uint64 if ordered else np.uint8)
-                grams = RangeHash(values).grams(scheme.window)
+            doc, row, start = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            parts, held = [], 0
+            for i, data in enumerate(batch.column(5)):
+                grams = RangeHash(np.frombuffer(data.as_py(), np.uint64 if ordered else np.uint8)).grams(scheme.window)
                 n = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, tag)), pa.array(start + np.arange(n))], ["w", "doc", "tag", "s"])
-
-    rows = ctx.mapInArrow(run, "w bigint, doc bigint, tag bigint, s bigint")
-    place = F.struct("doc", "tag", "s")
-    seen = rows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                parts.append((grams.view(np.int64), np.full(n, doc[i]), np.full(n, row[i]), start[i] + np.arange(n)))
+                held += n
+                if held >= MERGED or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], ["w", "doc", "row", "s"])
+                    parts, held = [], 0
+
+    windows = ctx.mapInArrow(run, "w bigint, doc bigint, row bigint, s bigint")
+    place = F.struct("doc", "row", "s")
+    seen = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     if ordered:
         seen = seen.where(F.col("first.doc") < F.col("last.doc")).select("w", F.col("first.doc").alias("least"))
-        hit = rows.join(seen, "w").where(F.col("doc") > F.col("least"))
+        hit = windows.join(seen, "w").where(F.col("doc") > F.col("least"))
     else:
-        hit = rows.join(seen.where(F.col("first") < F.col("last")).select("w"), "w")
-    return hit.select("doc", "tag", "s", (F.col("s") + scheme.window).alias("e"))
-
-
-def repeated(docs: DataFrame, scheme: Scheme, symbols: Symbols, work: Shard, *, ordered: bool, shard: int, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """(doc, spans): for documents with repeats, a list of (tag, s, e), which may overlap or pass the document's ends."""
-    roles = materialize(settle(occurrences(docs, scheme, symbols, ordered), ordered, max_classes), "roles")
-    place = F.col("at").bitwiseAND(F.lit(POS))
-    whole = roles.where(F.col("role") == WHOLE).select("doc", F.shiftright("at", 40).alias("tag"), (place - scheme.reach).alias("s"), (place + scheme.window).alias("e"))
-    ctx = materialize(contexts(docs, roles.where(F.col("role") > WHOLE), scheme, symbols, ordered), "contexts")
-    closer = shards(ctx.where(F.col("role") < HOT), scheme, work, shard).union(by_windows(ctx.where(F.col("role") >= HOT), scheme, ordered))
-    return whole.union(closer).groupBy("doc").agg(F.collect_list(F.struct("tag", "s", "e")).alias("spans"))
-
-
-def merged(spans: list[dict], tag: int, n: int) -> list[list[int]]:
-    """Maximal runs of the spans of one row, within 0 and n."""
-    runs: list[list[int]] = []
-    for s, e in sorted((max(0, x["s"]), min(n, x["e"])) for x in spans or () if x["tag"] == tag):
-        if runs and s <= runs[-1][1]:
-            runs[-1][1] = max(e, runs[-1][1])
-        elif e > s:
-            runs.append([s, e])
+        hit = windows.join(seen.where(F.col("first") < F.col("last")).select("w"), "w")
+    return hit.select("row", "s", (F.col("s") + scheme.window).alias("e"))
+
+
+def repeated(rows: DataFrame, scheme: Scheme, symbols: Symbols, work: Shard, *, ordered: bool, shard: int, max_classes: int = MAX_CLASSES, sampled: int = SAMPLED) -> DataFrame:
+    """(row, starts, ends): for rows with repeats, stretches that may overlap or pass the row's ends."""
+    hot = hot_anchors(rows, scheme, symbols, max_classes, sampled)
+    roles = materialize(settle(occurrences(rows, scheme, symbols, ordered, hot), ordered), "roles")
+    ctx = materialize(contexts(rows, roles.where(F.col("role") > WHOLE), scheme, symbols), "contexts")
+    closer = shards(ctx.where(F.col("role") < HOT), scheme, work, shard)
+    if len(hot):
+        closer = closer.union(by_windows(ctx.where(F.col("role") >= HOT), scheme, ordered))
+    closer = materialize(closer, "closer")
+    release(ctx)
+    whole = roles.where(F.col("role") == WHOLE).select("row", (F.col("at") - scheme.reach).alias("s"), (F.col("at") + scheme.window).alias("e"))
+    spans = materialize(whole.union(closer).groupBy("row").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")), "spans")
+    release(roles, closer)
+    return spans
+
+
+def merged(starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Maximal runs of stretches, within 0 and n."""
+    if not len(starts):
+        return []
+    sort = np.argsort(starts, kind="stable")
+    s, e = np.maximum(starts[sort], 0), np.maximum.accumulate(np.minimum(ends[sort], n))
+    head = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+    return list(zip(s[head].tolist(), e[np.append(head[1:], len(s)) - 1].tolist()))
+
+
+def runs_of(starts: pa.Array, ends: pa.Array) -> Callable[[int, int], list[tuple[int, int]]]:
+    """Of the columns of stretches of a batch: a function from a row's number and its length to ``merged`` runs."""
+    cuts, valid = starts.offsets.to_numpy(), starts.is_valid().to_numpy(zero_copy_only=False)
+    s, e = starts.values.to_numpy(), ends.values.to_numpy()
+    other = ends.offsets.to_numpy()
+
+    def runs(i: int, n: int) -> list[tuple[int, int]]:
+        return merged(s[cuts[i] : cuts[i + 1]], e[other[i] : other[i + 1]], n) if valid[i] else []
+
     return runs

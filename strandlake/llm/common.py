@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,11 +11,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -31,27 +33,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one of a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts lineage with files every executor can read, so a lost executor costs a
-    task retry only.  The files go when the application ends.
+    task retry only.  What the write shuffled is deleted with it; the files go
+    when they are released or the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if kept is None else spark.conf.set(_CLEANUP, kept)
+    files, jpath = _filesystem(spark, path)
+    files.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` gave and nothing reads any more."""
+    for df in tables:
+        files, jpath = _filesystem(df.sparkSession, df.scratch_path)
+        files.delete(jpath, True)
+
+
+def nested(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` and doc, a struct of all columns of ``docs``: no name of the caller's can clash with ours."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def with_unique_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` and row, a key of its own for each row; written, so that it is the same whenever it is read."""
+    return materialize(df.withColumn("row", F.monotonically_increasing_id()), name)
 
 
 def require(df: DataFrame, *columns: str) -> None:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import MAX_CLASSES, NEED, RangeHash, Scheme, keyed, merged, mix, repeated
-from .common import map_arrow, require
+from .anchors import MAX_CLASSES, NEED, SAMPLED, RangeHash, Scheme, mix, repeated, runs_of
+from .common import map_arrow, require, text_buffer, with_unique_rows
 
 #: Bytes of contexts (8 for each word) in a shard, but for one anchor's that are more.
 SHARD = 400_000
@@ -93,27 +93,20 @@ class SuffixAutomaton:
 def earlier_in_shard(window: int):
     """The ``work`` of a shard: windows of contexts that one of a smaller doc has too."""
 
-    def work(anchor, doc, tag, start, role, data) -> tuple[np.ndarray, np.ndarray]:
-        sequences = [np.frombuffer(x, np.uint64).tolist() for x in data]
+    def work(doc: np.ndarray, row: np.ndarray, start: np.ndarray, role: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         automaton, which, at = SuffixAutomaton(), [], []
-        order = sorted(range(len(doc)), key=doc.__getitem__)
-        k = 0
-        while k < len(order):
-            stop = k
-            while stop < len(order) and doc[order[stop]] == doc[order[k]]:
-                stop += 1
-            same = order[k:stop]
-            for i in same:
+        order = np.argsort(doc, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
+            sequences = [np.frombuffer(data[i], np.uint64).tolist() for i in same.tolist()]
+            for i, sequence in zip(same.tolist(), sequences):
                 if role[i] == NEED:
-                    for end, size in enumerate(automaton.matching(sequences[i]), 1):
-                        if size >= window:
-                            which.append(i)
-                            at.append(start[i] + end - window)
-            for i in same:
+                    ends = [end for end, size in enumerate(automaton.matching(sequence), 1) if size >= window]
+                    which += [i] * len(ends)
+                    at += [int(start[i]) + end - window for end in ends]
+            for sequence in sequences:
                 automaton.end_sequence()
-                for symbol in sequences[i]:
+                for symbol in sequence:
                     automaton.add(symbol)
-            k = stop
         return np.array(which, np.int64), np.array(at, np.int64)
 
     return work
@@ -142,37 +135,43 @@ def _words(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray
     return mix(values), bounds, rank
 
 
-def remove_earlier(docs: DataFrame, *, window: int = 13, gram: int = 3, max_classes: int = MAX_CLASSES, keep_text: bool = False) -> DataFrame:
+def remove_earlier(docs: DataFrame, *, window: int = 13, gram: int = 3, max_classes: int = MAX_CLASSES, sampled: int = SAMPLED, keep_text: bool = False) -> DataFrame:
     """Remove each word covered by ``window`` words that also start in a document with a smaller doc_id.
 
-    ``docs`` has doc_id (an integer) and text; further columns are ignored.  Words
-    are runs of anything but white space of ASCII, unchanged; windows are judged on
-    the input.  Returns a row for each row: doc_id, n_words, n_removed, kept_sha256
-    (lowercase hex; kept words joined by one space) and, with ``keep_text``, kept.
-    Null and empty texts have no words.  Rows of one doc_id do not remove each
-    other's words.  A null doc_id is below every other.
+    ``docs`` has doc_id (an integer) and text; further columns are ignored, whatever
+    their names.  Words are runs of anything but white space of ASCII, unchanged;
+    windows are judged on the input.  Returns a row for each row: doc_id, n_words,
+    n_removed, kept_sha256 (lowercase hex; kept words joined by one space) and, with
+    ``keep_text``, kept.  Null and empty texts have no words.  Rows of one doc_id,
+    repeated rows among them, do not remove each other's words.  A null doc_id is
+    below every other, and such rows are rows of one document.  A long text is
+    worked on whole by one task, in about 100 bytes of memory a byte.  An empty
+    table gives an empty one.
     """
     require(docs, "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scheme, rows = Scheme(window, gram), keyed(docs)
-    spans = repeated(rows, scheme, _words, earlier_in_shard(window), ordered=True, shard=SHARD, max_classes=max_classes)
-    joined = rows.join(spans, "doc", "left").select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(id_type).alias("doc_id"), "tag", "text", "spans")
+    scheme, rows = Scheme(window, gram), with_unique_rows(docs.select("doc_id", "text"), "rows")
+    numbered = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    spans = repeated(numbered, scheme, _words, earlier_in_shard(window), ordered=True, shard=SHARD, max_classes=max_classes, sampled=sampled)
+    joined = rows.join(spans, "row", "left").select("doc_id", "text", "starts", "ends")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_buffer(batch.column(1))
+        runs_in, whole = runs_of(batch.column(2), batch.column(3)), data.tobytes()
         out: list[tuple] = []
-        for tag, text, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            words = (text or "").encode().split()
-            runs, kept = merged(found, tag, len(words)), words
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            words = whole[a:b].split()
+            runs, kept = runs_in(i, len(words)), words
             if runs:
                 cuts = [0, *(x for r in runs for x in r), len(words)]
-                kept = [w for a, b in zip(cuts[::2], cuts[1::2]) for w in words[a:b]]
+                kept = [w for x, y in zip(cuts[::2], cuts[1::2]) for w in words[x:y]]
             joined_words = b" ".join(kept)
-            out.append((len(words), len(words) - len(kept), hashlib.sha256(joined_words).hexdigest(), joined_words))
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(joined_words).hexdigest(), joined_words.decode() if keep_text else None))
         cols = list(zip(*out)) or [()] * 4
         arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         if keep_text:
-            arrays, names = [*arrays, pa.array([x.decode() for x in cols[3]], pa.string())], [*names, "kept"]
+            arrays, names = [*arrays, pa.array(cols[3], pa.string())], [*names, "kept"]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     return map_arrow(joined, run, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text)
