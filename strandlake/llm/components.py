@@ -1,17 +1,79 @@
 """Connected components over link tables, without driver-side state.
 
-Alternating large-star and small-star steps: each joins every node with the
-smallest of its neighbours, so chains shorten by a constant factor a round and no
-step makes more rows than there are links.  Rounds are cut by tables in the
-shared folder.
+A round first joins what each partition can join by itself, then makes a
+large-star and a small-star step over all: each joins every node with the smallest
+of its neighbours, so chains shorten by a constant factor a round and no step
+makes more rows than there are links.  Links that fit in one partition are done
+after the first.  Rounds are cut by tables in the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
+
+#: Links that a partition holds before it joins them.
+HELD = 1_000_000
+
+
+class Forest:
+    """Union-find over the rows 0 to n - 1; a root is the least member."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            nxt = self.up[self.up]
+            if (nxt == self.up).all():
+                return self.up
+            self.up = nxt
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Connect a[i] with b[i]."""
+        while len(a):
+            r = self.roots()
+            x, y = r[a], r[b]
+            differ = x != y
+            if not differ.any():
+                return
+            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links that are not the least of their component, and that least node."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.join(place[: len(a)], place[len(a) :])
+    root = forest.roots()
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _local(edges: DataFrame) -> DataFrame:
+    """(u, v, part): the links of each partition, as links to the least node that they reach there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held >= HELD:
+                parts = [least_reachable(*(np.concatenate(x) for x in zip(*parts)))]
+                held = 0
+        if parts:
+            u, v = least_reachable(*(np.concatenate(x) for x in zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.full(len(u), TaskContext.get().partitionId()), pa.int32())], ["u", "v", "part"])
+
+    return edges.select("u", "v").repartition("u").mapInArrow(run, "u bigint, v bigint, part int")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,19 +89,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); component is the smallest node reachable.
+    """(node, component) for the nodes of ``links`` (a, b) that are not their own: the smallest node reachable.
 
-    Links may come in either order, repeat, or join a node with itself.
+    Links may come in either order, repeat, or join a node with itself; a link with
+    a null end is none.  No links give no rows.  Nodes that no row is given for are
+    components by themselves, or the smallest of one.
     """
-    loops = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    edges = materialize(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    edges, state = links.where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v")), None
     for _ in range(max_rounds):
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialize(_local(edges), "local")
+        if state is not None:
+            release(before)
+        spread = edges.agg(F.min("part").alias("low"), F.max("part").alias("high")).first()
+        if spread["low"] == spread["high"]:
+            break
+        before, edges = edges, materialize(_star(_star(edges, True), False), "stars")
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
-        raise RuntimeError("components did not settle")
-    return loops.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,110 +1,100 @@
-"""Links between binary fingerprints within a Hamming distance, by pivot distance tables.
-
-Fingerprints meet in buckets (equal bands).  In a bucket, some of them serve as
-pivots: the table of all distances to the pivots is computed once, and by the
-triangle inequality a pair whose table rows differ by more than the threshold in
-any column cannot be linked.  Only what is left is compared bit by bit.  As
-components are asked for, pairs that are already connected are not compared
-again, so a group of near copies costs its size and not its square.
+"""Links between 64-bit fingerprints within a Hamming distance, by pivot distance tables.
+
+Every distinct fingerprint gets a table, made once and kept with it: its distances
+to many reference fingerprints.  By the triangle inequality two fingerprints
+within ``limit`` bits have tables that differ by ``limit`` at most in every
+coordinate.  Pairs are formed only among those whose first coordinates are near
+enough, by a range search; a pair goes on while no coordinate differs by more;
+survivors are verified bit by bit.
+
+Who meets whom is settled by the pigeonhole principle: of ``limit + 2`` blocks of
+bits, fingerprints within the limit agree in two at least, so they share one of
+the buckets made of two blocks, and no link is missed.  (References alone would
+not do for that: a random pair passes one with a chance of a third, and cells of
+their distances would have to overlap.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
+from .components import Forest
 
-#: Buckets up to this size are compared whole; larger ones by pivots.
-SMALL = 200
+#: Reference fingerprints, drawn once and for all.
+REFERENCES = 32
 #: Rows of a bucket that one task takes; larger buckets are dealt as pairs of chunks.
 CHUNK = 4096
-PIVOTS = 16
 #: Large buckets that are broadcast with their sizes; more are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
+#: Pairs that are formed at once.
+PAIRS = 1_000_000
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of all rows of ``a`` (n, words) and ``b`` (m, words) of uint64."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return out
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while True:
-            nxt = self.up[self.up]
-            if (nxt == self.up).all():
-                return self.up
-            self.up = nxt
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Connect a[i] with b[i]; every root ends at the least member."""
-        while len(a):
-            r = self.roots()
-            x, y = r[a], r[b]
-            differ = x != y
-            if not differ.any():
-                return
-            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
-
-
-def link_bucket(codes: np.ndarray, limit: int) -> np.ndarray:
-    """For each row of ``codes`` (distinct fingerprints), the least row that it is connected with in this bucket."""
-    n = len(codes)
-    forest = _Forest(n)
-    if n <= SMALL:
-        a, b = np.nonzero(np.triu(distances(codes, codes) <= limit, 1))
-        forest.join(a, b)
-        return forest.roots()
-    # Pivots: rows that no pivot so far is near to, so that large groups of near rows are joined at once.
-    table, open_, cursor = [], np.ones(n, bool), 0
-    while len(table) < PIVOTS and open_.any():
-        p = int(np.argmax(open_[cursor:])) + cursor if open_[cursor:].any() else int(np.argmax(open_))
-        d = distances(codes, codes[p : p + 1])[:, 0]
-        table.append(d)
-        near = np.flatnonzero(d <= limit)
-        forest.join(near, np.full(len(near), p))
-        open_[near] = False
-        open_[p] = False
-        cursor = (p + n // PIVOTS) % n
-    columns = np.stack(table, 1)
-    order = np.argsort(columns[:, 0], kind="stable")
-    columns, rows = columns[order], codes[order]
-    first = columns[:, 0]
-    ends = np.searchsorted(first, first + limit, "right")
-    at = 0
+def references() -> np.ndarray:
+    return np.random.default_rng(64).integers(0, 2**64, REFERENCES, np.uint64)
+
+
+def distance_table(codes: np.ndarray) -> np.ndarray:
+    """Hamming distances of each code to each reference: (n, ``REFERENCES``) bytes."""
+    return np.bitwise_count(codes[:, None] ^ references()[None, :]).astype(np.uint8)
+
+
+def with_tables(codes: DataFrame) -> DataFrame:
+    """(code, id) with a column ``distances``: a code's distances to all references."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = distance_table(_words(batch.column(0)))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in found], pa.binary())], ["code", "id", "distances"])
+
+    return map_arrow(codes.select("code", "id"), run, "code binary, id bigint, distances binary")
+
+
+def bucket_keys(limit: int) -> Column:
+    """The buckets of column code: a key for each two of ``limit + 2`` blocks of its bits."""
+    word = F.conv(F.hex("code"), 16, -10).cast("long")
+    edges = [64 * k // (limit + 2) for k in range(limit + 3)]
+    keys = []
+    for k, (i, j) in enumerate(combinations(range(limit + 2), 2)):
+        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in (i, j))
+        keys.append(F.xxhash64(F.lit(k), word.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    return F.array(*keys)
+
+
+def _words(codes) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), ">u8").astype(np.uint64)
+
+
+def near_pairs(group: np.ndarray, codes: np.ndarray, tables: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (numbers from 0 on) whose codes are within ``limit`` bits."""
+    first = group.astype(np.int64) * 256 + tables[:, 0]
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    later = np.searchsorted(first, first + limit, "right") - np.arange(len(first)) - 1
+    ends = np.cumsum(later)
+    at, n = 0, len(first)
     while at < n:
-        # A slab of rows against all rows whose first distance is near enough.
-        step = max(1, min(n - at, 2_000_000 // max(1, int(ends[at] - at) + 1)))
-        stop = min(n, at + step)
-        end = int(ends[stop - 1])
-        left, right = np.arange(at, stop), np.arange(at, end)
-        root = forest.roots()[order]
-        a, b = np.nonzero((right[None, :] > left[:, None]) & (root[left][:, None] != root[right][None, :]))
-        a, b = left[a], right[b]
-        for k in range(columns.shape[1]):
-            may = np.abs(columns[a, k] - columns[b, k]) <= limit
-            a, b = a[may], b[may]
-        for s in range(0, len(a), 1_000_000):
-            x, y = a[s : s + 1_000_000], b[s : s + 1_000_000]
-            close = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int32) <= limit
-            forest.join(order[x[close]], order[y[close]])
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        own = np.repeat(np.arange(at, stop), later[at:stop])
+        step = np.arange(len(own)) - np.repeat(ends[at:stop] - later[at:stop] - (ends[at - 1] if at else 0), later[at:stop])
+        a, b = order[own], order[own + step + 1]
+        for k in range(1, tables.shape[1]):
+            if not len(a):
+                break
+            near = np.abs(tables[a, k].astype(np.int16) - tables[b, k]) <= limit
+            a, b = a[near], b[near]
+        close = np.bitwise_count(codes[a] ^ codes[b]) <= limit
+        yield a[close], b[close]
         at = stop
-    return forest.roots()
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], size: int = 40_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], size: int = 40_000) -> Iterator[pa.Table]:
     """Tables of whole buckets from rows sorted by (key, part)."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -124,20 +114,20 @@ def _buckets(batches: Iterator[pa.RecordBatch], size: int = 40_000) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def bucket_links(members: DataFrame, limit: int) -> DataFrame:
-    """Links (a, b) that connect what is within ``limit`` bits in a bucket.
+def hamming_links(codes: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) that connect the ids of fingerprints within ``limit`` bits.
 
-    ``members`` has key (long), id (long) and code (binary, the fingerprint), a row
-    for each bucket that a distinct fingerprint is in.  A bucket above ``CHUNK`` rows
-    is dealt as all pairs of its chunks, whose tasks hold twice ``CHUNK`` rows at
-    most.  A task gives a link for each row that isn't the first of its component.
+    ``codes`` has code (binary, 8 bytes, distinct), id (long) and distances.  A bucket
+    above ``CHUNK`` rows is dealt as all pairs of its chunks, whose tasks hold twice
+    ``CHUNK`` rows at most.  A task gives a link for each row that isn't the first
+    of its component.
     """
+    members = codes.select(F.explode(bucket_keys(limit)).alias("key"), "id", "code", "distances").where(F.col("id").isNotNull())
     # Only large buckets need a number of chunks, so members are dealt once and not joined with all sizes.
-    large = materialize(members.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large")
+    counts = codes.where(F.col("id").isNotNull()).select(F.explode(bucket_keys(limit)).alias("key")).groupBy("key").count()
+    large = materialize(counts.where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large")
     known = F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large
-    dealt = members.join(known, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
-        "key", "id", "code", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
-    )
+    dealt = members.join(known, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # pair (i, j), i <= j, is part i * chunks + j; a lone chunk is part 0
     parts = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
         F.transform(
@@ -145,27 +135,25 @@ def bucket_links(members: DataFrame, limit: int) -> DataFrame:
             lambda j: F.least(j, F.col("chunk")) * F.col("chunks") + F.greatest(j, F.col("chunk")),
         )
     )
-    spread = dealt.select("key", "id", "code", F.explode(parts).alias("part"))
+    spread = dealt.select("key", F.explode(parts).alias("part"), "id", "code", "distances")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches):
+        for table in whole_groups(batches):
             key, part, ids = (table.column(c).to_numpy() for c in ("key", "part", "id"))
-            codes = np.frombuffer(b"".join(table.column("code").to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-            bounds = np.append(new, len(ids))
-            size = np.diff(bounds)
-            a, b = [], []
-            # Pairs are compared for all buckets at once; so are the first two of a larger one.
-            two = new[size == 2]
-            close = two[np.bitwise_count(codes[two] ^ codes[two + 1]).sum(1, dtype=np.int32) <= limit]
-            a.append(ids[close])
-            b.append(ids[close + 1])
-            for start, n in zip(new[size > 2].tolist(), size[size > 2].tolist()):
-                root = link_bucket(codes[start : start + n], limit)
-                own = np.flatnonzero(root != np.arange(n))
-                if len(own):
-                    a.append(ids[start + own])
-                    b.append(ids[start + root[own]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-
-    return spread.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "id", "code").mapInArrow(run, "a bigint, b bigint")
+            group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            # a bucket of one row pairs with nothing
+            size = np.bincount(group)[group]
+            rows = np.flatnonzero(size > 1)
+            if not len(rows):
+                continue
+            few = table.select(["code", "distances"]).take(pa.array(rows))
+            found = _words(few.column("code"))
+            tables = np.frombuffer(b"".join(few.column("distances").to_pylist()), np.uint8).reshape(len(rows), -1)
+            forest = Forest(len(rows))
+            for a, b in near_pairs(group[rows], found, tables, limit):
+                forest.join(a, b)
+            root = forest.roots()
+            own = np.flatnonzero(root != np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[own]], pa.int64()), pa.array(ids[rows[root[own]]], pa.int64())], ["a", "b"])
+
+    return spread.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a bigint, b bigint")

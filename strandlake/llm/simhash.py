@@ -1,13 +1,13 @@
 """Operator 3: SimHash fingerprints and near-duplicate classes.
 
 Fingerprints are made where the documents are (a narrow map).  Equal ones are
-merged first, so copies of any number are one row from then on.  Distinct ones
-meet in buckets of equal bands and are linked by pivot distance tables
-(``hamming``); classes are connected components of the links.
+merged first, so copies of any number are one row from then on.  Each distinct
+one gets a table of its distances to reference fingerprints; pairs whose tables
+differ too much in any coordinate are discarded, and the others verified
+(``hamming``).  Classes are connected components of the links.
 
-There is one band more than bits may differ, so by the pigeonhole principle no
-link is missed.  The pipeline's stage asks for a similarity of shingle sets, which
-fingerprints only estimate; it takes the sets themselves (``jaccard``).
+The pipeline's stage asks for a similarity of shingle sets, which fingerprints
+only estimate; it takes the sets themselves (``jaccard``).
 """
 
 from __future__ import annotations
@@ -20,16 +20,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, require, texts
+from .common import map_arrow, materialize, require, texts, with_unique_rows
 from .components import components
-from .hamming import bucket_links
-from .jaccard import similar_classes
+from .hamming import hamming_links, with_tables
+from .jaccard import representatives
 
 SEED = 42
-#: Odd constants that derive further 64-bit hashes of a shingle from its first.
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -44,81 +41,41 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, n - words + 1)
 
 
-def fold(hashes: np.ndarray, lanes: int) -> bytes:
-    """A bit is 1 if it is set in over half of the hashes; ``lanes`` times 64 bits, most significant first."""
-    out = []
-    for lane in range(lanes):
-        h = hashes if lane == 0 else _mixed(hashes, lane)
-        if len(h) == 0:
-            out.append(bytes(8))
-            continue
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 65_536):
-            ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h)).tobytes())
-    return b"".join(out)
+def fold(hashes: np.ndarray) -> bytes:
+    """A bit is 1 if it is set in over half of the hashes, and 0 in a tie; 64 bits, most significant first."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (h ^ (h >> np.uint64(29))) * _MIX[lane % len(_MIX)] + np.uint64(lane)
-        x = (x ^ (x >> np.uint64(32))) * _MIX[(lane + 1) % len(_MIX)]
-    return x ^ (x >> np.uint64(29))
-
-
-def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1) -> DataFrame:
-    """``docs`` with a column code: the binary SimHash of text."""
-    require(docs, "text")
-    at = docs.columns.index("text")
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, code) of (doc_id, text): the binary SimHash of text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = pa.array([fold(shingle_hashes(t, shingle), lanes) for t in texts(batch.column(at))], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "code"])
-
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("code", T.BinaryType())]))
-
-
-def _bits(lanes: int, start: int, width: int):
-    """Bits start to start + width of column code, as a long."""
-    value = F.lit(0).cast("long")
-    for lane in range(lanes):
-        lo, hi = max(start, 64 * lane), min(start + width, 64 * lane + 64)
-        if lo < hi:
-            word = F.conv(F.hex(F.substring("code", 8 * lane + 1, 8)), 16, -10).cast("long")
-            piece = F.shiftrightunsigned(word, 64 * (lane + 1) - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            value = F.shiftleft(value, hi - lo).bitwiseOR(piece)
-    return value
-
-
-def _classes(codes: DataFrame, lanes: int, limit: int, bands: list[tuple[int, int]]) -> DataFrame:
-    """(code, component) for each distinct code of (code, id): the least id reachable."""
-    distinct = materialize(codes.groupBy("code").agg(F.min("id").alias("id")), "codes")
-    keys = F.array(*[F.shiftleft(F.lit(k).cast("long"), 48).bitwiseOR(_bits(lanes, start, width)) for k, (start, width) in enumerate(bands)])
-    members = distinct.select(F.explode(keys).alias("key"), "id", "code").where(F.col("id").isNotNull())
-    found = components(bucket_links(members, limit))
-    return distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("code", F.coalesce("component", "id").alias("component"))
-
+        codes = pa.array([fold(shingle_hashes(t, shingle)) for t in texts(batch.column(1))], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), codes], ["doc_id", "code"])
 
-def exact_bands(limit: int) -> list[tuple[int, int]]:
-    """limit + 1 bands of 64 bits: codes that differ in ``limit`` bits agree in one band."""
-    edges = [64 * k // (limit + 1) for k in range(limit + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, code binary")
 
 
 def simhash_classes(docs: DataFrame, *, shingle: int = 3, limit: int = 2) -> DataFrame:
     """Fingerprint and class of each document; codes within ``limit`` bits are linked, none is missed.
 
-    ``docs`` has doc_id (an integer) and text; further columns are ignored.
-    Returns a row for each row: doc_id, fingerprint (16 hex digits) and
+    ``docs`` has doc_id (an integer) and text; further columns are ignored, whatever
+    their names.  Returns a row for each row: doc_id, fingerprint (16 hex digits) and
     component_id, the smallest doc_id reachable by links.  A text of fewer words
     than a shingle is one shingle; a text without words, or null, has fingerprint
-    zero and is linked like any other.  Rows that share a doc_id are rows of one
-    node each.  A null doc_id takes part only as a copy: it never names a class
-    unless all its class is null.
+    zero and is linked like any other; a bit set in just half of the shingles is 0.
+    Rows that share a doc_id, repeated rows among them, are rows of one node each.
+    A null doc_id takes part only as a copy: it never names a class unless all its
+    class is null.  Long texts are hashed whole; an empty table gives an empty one.
     """
     require(docs, "doc_id", "text")
-    coded = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle).select("doc_id", "code"), "fingerprints")
-    classes = _classes(coded.select("code", F.col("doc_id").alias("id")), 1, limit, exact_bands(limit))
+    coded = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "fingerprints")
+    distinct = materialize(with_tables(coded.groupBy("code").agg(F.min("doc_id").alias("id"))), "codes")
+    found = components(hamming_links(distinct, limit)).withColumnRenamed("node", "id")
+    classes = distinct.select("code", "id").join(found, "id", "left").select("code", F.coalesce("component", "id").alias("component"))
     return coded.join(materialize(classes, "classes"), "code").select("doc_id", F.lower(F.hex("code")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -126,17 +83,17 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     """``docs``, all columns, with one row of each class of near duplicates: that of the smallest doc_id.
 
     Documents are linked when their sets of shingles have a Jaccard similarity of
-    ``similarity`` or more, and by nothing else (``jaccard``: fingerprint bands short
-    enough to find such pairs would also bring together most of a large corpus).
-    Texts without words are copies of one another.  Rows of one doc_id are one
-    node; of those that also repeat the text, one stays.  Rows without doc_id are
-    represented by a copy that has one, and stay where none has.
+    ``similarity`` or more, just that too, and by nothing else (``jaccard``:
+    fingerprint bands short enough to find such pairs would also bring together most
+    of a large corpus).  A text of fewer words than a shingle is one shingle; texts
+    without words, null ones too, are copies of one another.  Every class keeps
+    exactly one row: rows without doc_id come after all that have one, and of rows
+    that share the smallest doc_id, repeated rows among them, any one stays.  Long
+    texts are compared whole; columns stay whatever their names; an empty table
+    gives an empty one.
     """
     require(docs, "doc_id", "text")
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    classes = similar_classes(ids, partial(shingle_hashes, words=shingle), similarity)
-    lowest = F.lit(-(1 << 63)).cast("long")
-    first = materialize(classes.select(F.coalesce("component", lowest).alias("_id")).distinct(), "first")
-    # both the join and the choice among repeats deal rows by _id, so texts are shuffled once
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), lowest)).join(first, "_id", "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = with_unique_rows(docs.select(F.col("doc_id").cast("long").alias("id"), "text", other.alias("doc")), "rows")
+    first = representatives(rows, partial(shingle_hashes, words=shingle), similarity)
+    return rows.join(first, "row", "left_semi").select(*[F.col("text" if c == "text" else f"doc.`{c}`") for c in docs.columns])
