@@ -1,13 +1,18 @@
 """Operator 9: chat formatting by incremental rendering of a black-box template.
 
-A template is any function from a list of messages to a string.  The operator
-renders each prefix of a conversation and compares consecutive outputs: what a
-prefix adds is the span of its last turn.  A template that changes what it has
-already written (by trimming, reordering or closing marks) is found out there,
-and the conversation is flagged.
+A template is any function from a list of messages to a string, with the function
+that undoes what it does to texts, if it does anything.  The operator renders each
+prefix of a conversation and compares consecutive outputs: what a prefix adds is
+the span of its last turn.  Where the turn's text lies in its span is found in the
+same way, by rendering the prefix with two probe texts in its place: what both
+outputs begin and end with are the turn's marks.  A template that changes what it
+has already written (by trimming, reordering or closing marks) is found out by the
+prefixes, and the conversation is flagged; nothing is known of a template but its
+outputs.
 
 Conversations are sorted within partitions and streamed turn by turn; a worker
-holds one conversation at a time.
+holds one conversation at a time.  Rendering every prefix takes time in the square
+of a conversation's length.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +29,14 @@ from pyspark.sql import functions as F
 from .common import require
 
 Message = tuple[str, str]
-Template = Callable[[list[Message]], str]
+
+
+class Template(NamedTuple):
+    """``render`` makes a string of messages; ``restore`` undoes what it does to a text."""
+
+    render: Callable[[list[Message]], str]
+    restore: Callable[[str], str] = str
+
 
 # The control strings of the template.
 OPEN = {"user": "<s>[INST] ", "assistant": "<s>[ANSW] ", "system": "<s>[SYST] "}
@@ -34,10 +47,9 @@ OTHER_OPEN, OTHER_MIDDLE, OTHER_CLOSE = "<s>[ROLE] ", " [TEXT] ", " [/ROLE]"
 _CONTROL = r"(?:/?s>|/?(?:INST|ANSW|SYST|ROLE|TEXT)\])"
 _PLAIN = re.compile(rf"([<\[])(\\*)(?={_CONTROL})")
 _ESCAPED = re.compile(rf"([<\[])(\\*)\\(?={_CONTROL})")
-_TURN = re.compile(
-    r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<s>\[ANSW\] (?P<assistant>.*?) \[/ANSW\]</s>|<s>\[SYST\] (?P<system>.*?) \[/SYST\]|<s>\[ROLE\] (?P<role>.*?) \[TEXT\] (?P<text>.*?) \[/ROLE\]",
-    re.DOTALL,
-)
+
+#: Texts that have no character in common, and nothing that a template would trim or escape.
+PROBES = ("Qa7Qa", "Zk3Zk")
 
 
 def escape(text: str) -> str:
@@ -49,7 +61,7 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text) if "\\" in text else text
 
 
-def inst_template(messages: list[Message]) -> str:
+def render_inst(messages: list[Message]) -> str:
     """The template of the library: one marked block a turn, texts escaped."""
     out = []
     for role, text in messages:
@@ -60,82 +72,113 @@ def inst_template(messages: list[Message]) -> str:
     return "".join(out)
 
 
-def read_turn(block: str) -> tuple[str, str, int, int]:
-    """Role, text and the text's place in a block that the template made of one turn."""
-    m = _TURN.fullmatch(block)
-    if m is None:
-        raise ValueError("not one turn of this template")
-    if m["role"] is not None:
-        return unescape(m["role"]), unescape(m["text"]), *m.span("text")
-    role = m.lastgroup
-    return role, unescape(m[role]), *m.span(role)
+INST = Template(render_inst, unescape)
+
+
+def _common(a: str, b: str) -> int:
+    """Characters that both begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+class Turn(NamedTuple):
+    """A turn in the output: its span, that of its text (None if it isn't there as one stretch), and its marks."""
+
+    start: int
+    end: int
+    text: tuple[int, int] | None
+    marks: tuple[str, str]
 
 
-def turn_spans(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int]], bool]:
-    """Rendered conversation, the span of each turn, and whether the template rewrites history.
+def locate(messages: list[Message], now: str, start: int, render: Callable[[list[Message]], str]) -> Turn:
+    """The last turn in its render ``now``, from ``start`` on."""
+    (role, _), history = messages[-1], messages[:-1]
+    one, other = (render([*history, (role, probe)]) for probe in PROBES)
+    head = _common(one, other)
+    tail = len(one) - head - len(PROBES[0])
+    clear = tail >= 0 and len(other) == len(one) and one[head : head + len(PROBES[0])] == PROBES[0] and one[len(one) - tail :] == other[len(other) - tail :]
+    marks = one[min(start, head) : head], one[len(one) - max(tail, 0) :]
+    inside = clear and start <= head <= len(now) - tail and now[:head] == one[:head] and now[len(now) - tail :] == one[len(one) - tail :]
+    return Turn(start, len(now), (head, len(now) - tail) if inside else None, marks)
+
+
+def read_turns(messages: list[Message], render: Callable[[list[Message]], str]) -> tuple[str, list[Turn], bool]:
+    """Rendered conversation, where each turn is in it, and whether the template rewrites history.
 
     A turn's span runs from the end of the common part with the render before it.
     """
-    before, spans, rewrites = "", [], False
+    before, turns, rewrites = "", [], False
     for n in range(1, len(messages) + 1):
-        now = template(messages[:n])
-        if now.startswith(before):
-            start = len(before)
-        else:
-            rewrites = True
-            start = next((i for i, (x, y) in enumerate(zip(before, now)) if x != y), min(len(before), len(now)))
-        spans.append((start, len(now)))
+        now = render(messages[:n])
+        start = len(before) if now.startswith(before) else _common(before, now)
+        rewrites |= start < len(before)
+        turns.append(locate(messages[:n], now, start, render))
         before = now
-    return before, spans, rewrites
+    return before, turns, rewrites
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[Message]]]:
-    key, rows, open_ = None, [], False
+    key, rows = None, []
     for batch in batches:
         for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if open_ and conv != key:
+            if rows and (conv is None or conv != key):
                 yield key, rows
                 rows = []
-            key, open_ = conv, True
+            key = conv
             rows.append((role or "", text or ""))
-    if open_:
+    if rows:
         yield key, rows
 
 
-def format_conversations(turns: DataFrame, template: Template = inst_template, *, trained_role: str = "assistant") -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template = INST, *, trained_role: str = "assistant") -> DataFrame:
     """Render conversations and say which characters a loss counts.
 
-    ``turns`` has conv_id, turn, role and text; further columns are ignored.  Rows
-    of a conversation are taken by turn, null turns first and rows of one turn by
-    role and text.  Null roles and texts are empty; a null conv_id is a
-    conversation of its own.  Returns a row for each conversation: conv_id,
-    n_turns, formatted, turn_spans and loss_spans (code points of formatted,
-    ends exclusive), rewrites_history, and what the output says when it is read
-    back: turns_sha256 (of role, newline, text, newline for each turn), loss_chars
-    and loss_sha256 (of the text under the loss mask, unescaped).  Where a
-    template rewrites history no mask can be trusted: loss_spans is empty and the
-    three are null.
+    ``turns`` has conv_id, turn, role and text; further columns are ignored, whatever
+    their names.  Rows of a conversation are taken by turn, null turns first and
+    rows of one turn by role and text; repeated rows are turns each.  Null roles and
+    texts are empty.  A row without conv_id belongs to no conversation and is one of
+    its own, so such rows meet nowhere.  Long texts are rendered whole; an empty
+    table gives an empty one.
+
+    Returns a row for each conversation: conv_id, n_turns, formatted, turn_spans and
+    loss_spans (code points of formatted, ends exclusive), rewrites_history, and what
+    the output says when it is read back by the marks that were found:
+    turns_sha256 (of role, newline, text, newline for each turn), loss_chars and
+    loss_sha256 (of the text under the loss mask, restored), reads_back (all of it
+    is what went in).  Where a template rewrites history or does not give a text as
+    one stretch no mask can be trusted: loss_spans is empty and the digests and
+    reads_back are null.  Where two roles have the same marks the output does not
+    tell them apart, and turns_sha256 and reads_back are null.
     """
     require(turns, "conv_id", "turn", "role", "text")
     id_type = turns.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {id_type}, n_turns bigint, formatted string, turn_spans array<array<int>>, loss_spans array<array<int>>, rewrites_history boolean, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    schema = f"conv_id {id_type}, n_turns bigint, formatted string, turn_spans array<array<int>>, loss_spans array<array<int>>, rewrites_history boolean, turns_sha256 string, loss_chars bigint, loss_sha256 string, reads_back boolean, formatted_chars bigint"
     names = [c.split(" ")[0] for c in schema.split(", ")]
     spans_type = pa.list_(pa.list_(pa.int32()))
 
     def row(conv, messages: list[Message]) -> tuple:
-        formatted, spans, rewrites = turn_spans(messages, template)
-        if rewrites:
-            return conv, len(messages), formatted, spans, [], True, None, None, None, len(formatted)
-        told, loss, masked, chars = hashlib.sha256(), hashlib.sha256(), [], 0
-        for start, end in spans:
-            role, text, a, b = read_turn(formatted[start:end])
-            told.update(f"{role}\n{text}\n".encode())
+        formatted, found, rewrites = read_turns(messages, template.render)
+        spans = [(t.start, t.end) for t in found]
+        if rewrites or any(t.text is None for t in found):
+            return conv, len(messages), formatted, spans, [], rewrites, None, None, None, None, len(formatted)
+        told, loss, masked, chars, same = hashlib.sha256(), hashlib.sha256(), [], 0, True
+        role_of, told_apart = {}, True
+        for turn, (role, text) in zip(found, messages):
+            told_apart &= role_of.setdefault(turn.marks, role) == role
+            under = template.restore(formatted[slice(*turn.text)])
+            same &= under == text
+            told.update(f"{role_of[turn.marks]}\n{under}\n".encode())
             if role == trained_role:
-                masked.append((start + a, start + b))
-                under = unescape(formatted[start + a : start + b])
+                masked.append(turn.text)
                 loss.update(under.encode())
                 chars += len(under)
-        return conv, len(messages), formatted, spans, masked, False, told.hexdigest(), chars, loss.hexdigest(), len(formatted)
+        return conv, len(messages), formatted, spans, masked, False, told.hexdigest() if told_apart else None, chars, loss.hexdigest(), same if told_apart else None, len(formatted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -150,7 +193,7 @@ def format_conversations(turns: DataFrame, template: Template = inst_template, *
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*held))
-            types = [kind, pa.int64(), pa.string(), spans_type, spans_type, pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            types = [kind, pa.int64(), pa.string(), spans_type, spans_type, pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([[*map(list, x)] for x in c] if t == spans_type else c, t) for c, t in zip(cols, types)], names)
 
         for conv, messages in _conversations(peek()):
@@ -164,5 +207,6 @@ def format_conversations(turns: DataFrame, template: Template = inst_template, *
 
     rows = turns.select("conv_id", "role", "text", "turn")
     # rows of one turn: by role and text as bytes, so the order is the same everywhere
-    ordered = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return ordered.mapInArrow(run, schema)
+    whole = rows.where(F.col("conv_id").isNotNull()).repartition("conv_id")
+    ordered = whole.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    return ordered.mapInArrow(run, schema).unionByName(rows.where(F.col("conv_id").isNull()).mapInArrow(run, schema))
