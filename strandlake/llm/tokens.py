@@ -56,6 +56,8 @@ class PrefixCounter:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks, self.spaced, self.words = _Store(self.chunk_table), _Store(lambda w: self.chunk_table(" " + w)), _Store(self._word)
         self.before: tuple[str, list[int], list[str]] = "", [0], [""]
+        #: Counts at each prefix of the longest run of one white-space character so far, by character.
+        self.runs: dict[str, tuple[int, list[int]]] = {}
 
     @classmethod
     def load(cls, path: str) -> "PrefixCounter":
@@ -101,49 +103,65 @@ class PrefixCounter:
 
     def _word(self, word: str) -> bytes:
         """The steps of a pre-token of plain letters or signs, perhaps after a space."""
-        count = self._piece(word.replace(" ", _BYTES[32]) if word.isascii() else "".join([_BYTES[b] for b in word.encode()]))
-        if word.isascii():
-            ends = count
-        else:
-            at, ends = 0, [0]
-            for ch in word:
-                at += len(ch.encode())
-                ends.append(count[at])
+        ends = self._char_counts(word, word.replace(" ", _BYTES[32]) if word.isascii() else "".join([_BYTES[b] for b in word.encode()]))
         return bytes([(y - x) & 255 for x, y in zip(ends, ends[1:])])
 
     def _counts_plain(self, text: str) -> list[int]:
         """Exact count at each character prefix of a text without special strings."""
-        out, base = [0], 0
+        out, base, run = [0], 0, (0, 0, [0])
         for piece, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text):
             part = text[a:b]
+            if part[0].isspace() and not run[0] <= a < run[1]:
+                run = self._run(text, a, out)
             if part.isspace():
-                # A run of spaces is one pre-token for as long as nothing follows it.
-                start = a
-                while start and text[start - 1].isspace():
-                    start -= 1
-                before = out[start]
-                for i in range(a + 1, b + 1):
-                    out.append(before + len(self._encode(text[start:i])))
+                out += run[2][a + 1 - run[0] : b + 1 - run[0]]
+                base += len(self._merged(piece))
             elif part[0] == "'" and len(part) <= 3 and part[1:].isalpha():
                 # "'r" is two pre-tokens, "'re" is one.
                 for i in range(a + 1, b + 1):
                     out.append(base + len(self._encode(text[a:i])))
+                base = out[-1]
             else:
-                count = self._piece(piece)
-                at = 0
-                head = part[0].isspace() and a and text[a - 1].isspace()
-                for k, ch in enumerate(part):
-                    at += len(ch.encode())
-                    if k == 0 and head:
-                        start = a
-                        while start and text[start - 1].isspace():
-                            start -= 1
-                        out.append(out[start] + len(self._encode(text[start : a + 1])))
-                    else:
-                        out.append(base + count[at])
-            base += len(self._merged(piece)) if part.isspace() else out[-1] - base
+                ends = self._char_counts(part, piece)
+                # its first space ends the run of white space that it is part of until something follows
+                first = run[2][a + 1 - run[0]] if part[0].isspace() and a > run[0] else base + ends[1]
+                out.append(first)
+                out += [base + c for c in ends[2:]]
+                base = out[-1] if len(part) > 1 else base + ends[-1]
         return out
 
+    def _char_counts(self, text: str, piece: str) -> list[int]:
+        """``_piece`` at the end of each character of ``text``, whose bytes ``piece`` stands for."""
+        count = self._piece(piece)
+        if len(piece) == len(text):
+            return count
+        at, ends = 0, [0]
+        for ch in text:
+            at += len(ch.encode())
+            ends.append(count[at])
+        return ends
+
+    def _run(self, text: str, start: int, out: list[int]) -> tuple[int, int, list[int]]:
+        """Start, end and counts at each prefix of the white space from ``start`` on.
+
+        Such a run is one pre-token for as long as nothing follows it.
+        """
+        end = start + len(text[start:]) - len(text[start:].lstrip())
+        white = text[start:end]
+        pieces = self.tok.pre_tokenizer.pre_tokenize_str(white)
+        if len(pieces) == 1:
+            known = self.runs.get(white[0], (0, [0])) if white.count(white[0]) == len(white) else None
+            if known is None:
+                counts = self._char_counts(white, pieces[0][0])
+            else:
+                if known[0] < len(white):
+                    # a run of one character begins all longer ones
+                    known = self.runs[white[0]] = (len(white), self._char_counts(white, pieces[0][0]))
+                counts = known[1]
+        else:
+            counts = [len(self._encode(white[:i])) for i in range(len(white) + 1)]
+        return start, end, [out[start] + c for c in counts[: len(white) + 1]]
+
     def _encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
