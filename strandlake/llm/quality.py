@@ -5,9 +5,10 @@ of labelled documents: presence of the words and signs that tell the classes
 apart best, and a few figures of a text's shape.  Every document is then scored
 where it is.  Hosts and paths get posteriors by grouped sums over all documents:
 a path's mean is shrunk toward its host's, a host's toward the global one, each
-by a weight estimated from the spread between groups (method of moments), so
-sparse sites say little.  A document's final odds are its own evidence times the
-prior odds of its path.
+by a weight estimated from the variance of scores within groups and the spread
+between them (method of moments), so sparse sites say little.  A document's final
+odds are its own evidence times the prior odds of its path, which are those of
+the other documents there: its own score is taken out of the sums first.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, require, texts
+from .common import map_arrow, materialize, nested, require, texts
 
 #: Labelled documents that the models are fitted on, at most: those of the lowest hash of doc_id.
 SAMPLE = 5_000
@@ -36,6 +37,8 @@ PREFIXES = (3, 5, 7)
 HEADS = ("quality", "toxic")
 
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
+#: What ``classify`` adds.
+RESULTS = ("p_quality", "p_toxic", "site_quality", "site_toxic", "keep")
 SHAPES = ("log_words", "distinct", "repeats", "signs", "capitals", "digits", "word_length", "line_repeats")
 
 
@@ -136,11 +139,11 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def fit_models(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict[str, LogisticModel]:
-    """A model for each head, from at most ``sample`` labelled documents."""
+    """A model for each head, from at most ``sample`` labelled documents: of rows that share a doc_id the least text counts."""
     require(labels, "doc_id", *HEADS)
     picked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.min(h).cast("int").alias(h) for h in HEADS])
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", *HEADS)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", *HEADS).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", *HEADS)
     rows = _features(labelled).toArrow()
     lists = rows.column("tokens").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -156,82 +159,108 @@ def fit_models(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> d
     return models
 
 
-def score_documents(docs: DataFrame, models: dict[str, LogisticModel]) -> DataFrame:
-    """``docs`` with a column for each head: the logit of its own evidence; a narrow map."""
-    at = docs.columns.index("text")
-    names = [f"_logit_{h}" for h in HEADS]
+def score_documents(rows: DataFrame, models: dict[str, LogisticModel], keep_text: bool) -> DataFrame:
+    """``rows`` (doc, host, path; doc has text) with a logit for each head, of a text's own evidence; a narrow map."""
+    fields = rows.schema["doc"].dataType.fields
+    at = [f.name for f in fields].index("text")
+    kept = [i for i in range(len(fields)) if keep_text or i != at]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[float]] = [[] for _ in HEADS]
-        for text in texts(batch.column(at)):
+        columns = batch.column(0).flatten()
+        for text in texts(columns[at]):
             tokens, shape = tokens_of(text), np.array(shape_of(text))
             for scores, head in zip(out, HEADS):
                 scores.append(models[head].logit(tokens, shape))
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in out)], [*batch.schema.names, *names])
+        doc = batch.column(0) if keep_text else pa.StructArray.from_arrays([columns[i] for i in kept], fields=[batch.schema.field(0).type.field(i) for i in kept])
+        return pa.RecordBatch.from_arrays([doc, *batch.columns[1:], *(pa.array(x, pa.float64()) for x in out)], [*batch.schema.names, *(f"logit_{h}" for h in HEADS)])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.DoubleType()) for x in names)]))
+    schema = T.StructType([T.StructField("doc", T.StructType([fields[i] for i in kept])), *rows.schema.fields[1:], *(T.StructField(f"logit_{h}", T.DoubleType()) for h in HEADS)])
+    return map_arrow(rows, run, schema)
 
 
-def _spread(groups: DataFrame, prior: Column, total: str, n: str) -> Column:
-    """Pseudo-count of a beta prior whose variance is that between group means, beyond sampling noise."""
-    mean = F.col(total) / F.col(n)
-    noise = prior * (1 - prior)
-    # expected (mean - prior)^2 = t^2 + noise / n, for groups of n
-    between = F.sum(F.col(n) * (mean - prior) * (mean - prior)) - F.sum(noise)
-    variance = F.greatest(between / F.sum(n), F.lit(1e-6))
-    return F.least(F.greatest(F.avg(noise) / variance - 1, F.lit(1.0)), F.lit(1e6))
+def _chance(head: str) -> Column:
+    return 1 / (1 + F.exp(-F.col(f"logit_{head}")))
 
 
-def site_posteriors(scored: DataFrame, host: str = "_host", path: str = "_path") -> tuple[DataFrame, dict[str, float]]:
-    """(host, path, a prior for each head) by two levels of shrinkage, and the global means."""
-    chance = {h: 1 / (1 + F.exp(-F.col(f"_logit_{h}"))) for h in HEADS}
-    paths = scored.groupBy(host, path).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(chance[h]).alias(f"s_{h}") for h in HEADS])
-    hosts = paths.groupBy(host).agg(F.sum("n").alias("hn"), *[F.sum(f"s_{h}").alias(f"hs_{h}") for h in HEADS])
+def _weight(total: Column, squares: Column, n: Column, prior: Column) -> Column:
+    """How many documents a prior counts for: variance within groups over that between them.
+
+    The variance within is the pooled one of the scores; the squared distance of a
+    group's mean from its prior is, on average, the variance between groups plus
+    that within over the group's size.
+    """
+    within = F.greatest(F.sum(squares - total * total / n) / F.greatest(F.sum(n) - F.count(F.lit(1)), F.lit(1.0)), F.lit(0.0))
+    between = (F.sum(n * (total / n - prior) * (total / n - prior)) - F.count(F.lit(1)) * within) / F.sum(n)
+    return F.least(F.greatest(within / F.greatest(between, F.lit(1e-9)), F.lit(1.0)), F.lit(1e6))
+
+
+def site_sums(scored: DataFrame) -> tuple[DataFrame, dict[str, float], dict[str, tuple[float, float]]]:
+    """(host, path; documents and sums of scores of both), the global means, and the weights of hosts' and paths' priors."""
+    sums = [x for h in HEADS for x in (F.sum(_chance(h)).alias(f"s_{h}"), F.sum(_chance(h) * _chance(h)).alias(f"q_{h}"))]
+    paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"{x}_{h}").alias(f"h{x}_{h}") for h in HEADS for x in "sq"])
     total = hosts.agg(F.sum("hn").alias("n"), *[F.sum(f"hs_{h}").alias(h) for h in HEADS]).first()
     means = {h: min(1 - 1e-6, max(1e-6, (total[h] or 0.0) / total["n"])) if total["n"] else 0.5 for h in HEADS}
-    k = hosts.agg(*[_spread(hosts, F.lit(means[h]), f"hs_{h}", "hn").alias(h) for h in HEADS]).first()
-    host_post = hosts.select(host, *[((F.lit(means[h]) * F.lit(float(k[h] or 1.0)) + F.col(f"hs_{h}")) / (F.lit(float(k[h] or 1.0)) + F.col("hn"))).alias(f"hp_{h}") for h in HEADS])
-    both = paths.join(host_post, host)
-    kp = both.agg(*[_spread(both, F.col(f"hp_{h}"), f"s_{h}", "n").alias(h) for h in HEADS]).first()
-    return both.select(host, path, *[((F.col(f"hp_{h}") * F.lit(float(kp[h] or 1.0)) + F.col(f"s_{h}")) / (F.lit(float(kp[h] or 1.0)) + F.col("n"))).alias(f"_prior_{h}") for h in HEADS]), means
+    host_weight = hosts.agg(*[_weight(F.col(f"hs_{h}"), F.col(f"hq_{h}"), F.col("hn"), F.lit(means[h])).alias(h) for h in HEADS]).first()
+    weights = {h: float(host_weight[h] or 1.0) for h in HEADS}
+    sites = paths.join(hosts, "host")
+    prior = {h: (F.lit(means[h] * weights[h]) + F.col(f"hs_{h}")) / (F.lit(weights[h]) + F.col("hn")) for h in HEADS}
+    path_weight = sites.agg(*[_weight(F.col(f"s_{h}"), F.col(f"q_{h}"), F.col("n"), prior[h]).alias(h) for h in HEADS]).first()
+    return sites.drop(*[f"{x}_{h}" for h in HEADS for x in ("q", "hq")]), means, {h: (weights[h], float(path_weight[h] or 1.0)) for h in HEADS}
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE, min_quality: float = 0.5, max_toxic: float = 0.5, keep_text: bool = True) -> DataFrame:
-    """``docs``, all columns (without text if not ``keep_text``), with p_quality, p_toxic, site priors and keep.
+def site_prior(head: str, mean: float, weights: tuple[float, float]) -> Column:
+    """The posterior of a path without the document of the row itself: shrunk to that of its host, and that to the mean."""
+    own = _chance(head)
+    host = (F.lit(mean * weights[0]) + F.col(f"hs_{head}") - own) / (F.lit(weights[0]) + F.col("hn") - 1)
+    path = (host * weights[1] + F.col(f"s_{head}") - own) / (F.lit(weights[1]) + F.col("n") - 1)
+    return F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6))
 
-    ``docs`` has doc_id and text and, if there are any, columns that name a host
-    and a path within it; ``labels`` has doc_id, quality and toxic (0, 1 or null).
-    ``keep`` says that p_quality is at least ``min_quality`` and p_toxic below
-    ``max_toxic``.  Null texts are empty ones and have the evidence of a text
-    without words; null hosts and paths are a site of their own.  Without labels
-    of both classes a model is the smoothed share of its class.  Repeated rows are
-    scored alike; an empty table stays empty.
-    """
+
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int, min_quality: float, max_toxic: float, keep_text: bool) -> DataFrame:
+    """doc, a struct of the caller's columns, and ``RESULTS``."""
     require(docs, "doc_id", "text")
     models = fit_models(docs, labels, sample=sample)
-    site = {k: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for k, c in (("_host", host), ("_path", path))}
-    scored = score_documents(docs.withColumns(site), models)
-    scored = materialize(scored if keep_text else scored.drop("text"), "scores")
-    sites, means = site_posteriors(scored.select("_host", "_path", *[f"_logit_{h}" for h in HEADS]))
+    site = [(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(k) for k, c in (("host", host), ("path", path))]
+    scored = materialize(score_documents(nested(docs, *site).select("doc", "host", "path"), models, keep_text), "scores")
+    sites, means, weights = site_sums(scored)
     sites = materialize(sites, "sites")
     if sites.count() <= BROADCAST_SITES:
-        joined = scored.join(F.broadcast(sites), ["_host", "_path"])
+        joined = scored.join(F.broadcast(sites), ["host", "path"])
     else:
-        spread = sites.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        joined = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["_host", "_path", "_salt"])
+        spread = sites.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = scored.withColumn("salt", F.pmod(F.xxhash64("logit_quality", "logit_toxic"), F.lit(SALTS)).cast("int")).join(spread, ["host", "path", "salt"])
+    for head in HEADS:
+        joined = joined.withColumn(f"site_{head}", site_prior(head, means[head], weights[head]))
 
     def chance(head: str) -> Column:
-        prior = F.col(f"_prior_{head}")
-        odds = F.col(f"_logit_{head}") + F.log(prior / (1 - prior)) - float(np.log(means[head] / (1 - means[head])))
-        return 1 / (1 + F.exp(-odds))
+        prior = F.col(f"site_{head}")
+        odds = F.col(f"logit_{head}") + F.log(prior / (1 - prior)) - float(np.log(means[head] / (1 - means[head])))
+        return (1 / (1 + F.exp(-odds))).alias(f"p_{head}")
 
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"], chance("quality").alias("p_quality"), chance("toxic").alias("p_toxic"), F.col("_prior_quality").alias("site_quality"), F.col("_prior_toxic").alias("site_toxic"))
+    out = joined.select("doc", chance("quality"), chance("toxic"), "site_quality", "site_toxic")
     return out.withColumn("keep", (F.col("p_quality") >= min_quality) & (F.col("p_toxic") < max_toxic))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with the columns of ``docs``."""
-    clear = [c for c in docs.columns if c not in ("p_quality", "p_toxic", "site_quality", "site_toxic", "keep")]
-    if len(clear) != len(docs.columns):
-        raise ValueError("docs already has columns of a classification")
-    return classify(docs, labels, **options).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE, min_quality: float = 0.5, max_toxic: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """``docs``, all columns (without text if not ``keep_text``), with p_quality, p_toxic, site priors and keep.
+
+    ``docs`` has doc_id and text and, if there are any, columns that name a host
+    and a path within it; ``labels`` has doc_id, quality and toxic (0, 1 or null).
+    ``keep`` says that p_quality is at least ``min_quality`` and p_toxic below
+    ``max_toxic``; a probability just at a bound is of good quality, or toxic.  Null
+    and empty texts have the evidence of a text without words; null hosts and paths
+    are a site of their own.  Without labels of both classes a model is the smoothed
+    share of its class; a doc_id that is labelled repeatedly has the least label.
+    Repeated rows are scored alike and count each; long texts are read whole; an
+    empty table stays empty.  Columns of ``docs`` that are named as a result are
+    replaced by it, all others stay, whatever their names.
+    """
+    out = _judged(docs, labels, host, path, sample, min_quality, max_toxic, keep_text)
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if (keep_text or c != "text") and c not in RESULTS], *RESULTS)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE, min_quality: float = 0.5, max_toxic: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with the columns of ``docs``, whatever their names."""
+    return _judged(docs, labels, host, path, sample, min_quality, max_toxic, True).where("keep").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
