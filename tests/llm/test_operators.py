@@ -5,17 +5,21 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from strandlake.llm import decontaminate, embeddings, packing, quality, secrets, simhash, substrings, suffixes, tokens
-from strandlake.llm.chat import escape, format_conversations, inst_template, turn_spans, unescape
+from strandlake.llm import decontaminate, embeddings, hamming, packing, quality, secrets, simhash, substrings, suffixes, tokens
+from strandlake.llm.chat import Template, escape, format_conversations, read_turns, render_inst, unescape
 from strandlake.llm.queries import vocabulary
 
+# workers cannot import this module, so its templates go to them by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 R = random.Random(4)
 WORDS = [bytes(R.choices(b"abcdefgh", k=R.randint(3, 9))).decode() for _ in range(60)]
 
@@ -183,15 +187,38 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(frame).collect()) == sorted(set(want))
 
 
-def test_pivot_tables_lose_no_link():
-    from strandlake.llm.hamming import distances, link_bucket
-
+def test_pivot_tables_lose_no_link(spark):
     r = np.random.default_rng(2)
-    base = r.integers(0, 2**63, (40, 1), dtype=np.uint64)
-    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << r.integers(0, 6, (40, 1), dtype=np.uint64)) for _ in range(12)] + [r.integers(0, 2**63, (400, 1), dtype=np.uint64)]), axis=0)
+    base = r.integers(0, 2**64, 40, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << r.integers(0, 64, 40, dtype=np.uint64)) for _ in range(12)] + [base ^ (np.uint64(1) << np.uint64(k)) for k in range(5)] + [r.integers(0, 2**64, 400, dtype=np.uint64)]))
     codes = r.permutation(codes)
-    a, b = np.nonzero(np.triu(distances(codes, codes) <= 2, 1))
-    assert link_bucket(codes, 2).tolist() == classes(len(codes), zip(a.tolist(), b.tolist()))
+    a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2, 1))
+    tables = hamming.distance_table(codes)
+    assert (np.abs(tables[a].astype(int) - tables[b]).max() <= 2) and len(a) > 100
+    pairs = [tuple(sorted(p)) for x in hamming.near_pairs(np.zeros(len(codes), int), codes, tables, 2) for p in zip(*(y.tolist() for y in x))]
+    assert sorted(pairs) == list(zip(a.tolist(), b.tolist()))
+    frame = spark.createDataFrame([(bytearray(int(c).to_bytes(8, "big")), i) for i, c in enumerate(codes)], "code binary, id bigint")
+    for chunk in (4096, 3):
+        hamming.CHUNK = chunk
+        found = hamming.hamming_links(hamming.with_tables(frame), 2).collect()
+        assert classes(len(codes), [(r["a"], r["b"]) for r in found]) == classes(len(codes), zip(a.tolist(), b.tolist()))
+    hamming.CHUNK = 4096
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_components(spark, partitions):
+    from strandlake.llm.components import components
+
+    r = random.Random(partitions)
+    links = [(i, i + 1) for i in range(1000, 1300)] + [(r.randint(0, 400), r.randint(0, 400)) for _ in range(150)] + [(500, 500), (700, 600), (700, 600), (None, 3)]
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
+    want = classes(1400, [(a, b) for a, b in links if a is not None])
+    assert {i: got.get(i, i) for i in range(1400)} == dict(enumerate(want))
 
 
 @pytest.mark.parametrize("max_classes", [20_000, 1])
@@ -201,7 +228,7 @@ def test_repeated_bytes(docs, empty, max_classes):
     for d in data:
         for i in range(len(d) - 199):
             seen[d[i : i + 200]] += 1
-    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs, max_classes=max_classes).collect()}
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs, max_classes=max_classes, sampled=1 if max_classes == 1 else 64).collect()}
     for k, d in enumerate(data):
         gone = np.zeros(len(d), bool)
         for i in range(len(d) - 199):
@@ -222,7 +249,7 @@ def test_suffix_arrays_by_induced_sorting():
 @pytest.mark.parametrize("max_classes", [20_000, 1])
 def test_earlier_words(docs, empty, max_classes):
     first = {}
-    got = {r["doc_id"]: r for r in substrings.remove_earlier(docs, max_classes=max_classes).collect()}
+    got = {r["doc_id"]: r for r in substrings.remove_earlier(docs, max_classes=max_classes, sampled=1 if max_classes == 1 else 64).collect()}
     for k, text in enumerate(TEXTS):
         words = (text or "").encode().split()
         gone = np.zeros(len(words), bool)
@@ -317,12 +344,45 @@ def test_chat_round_trip(spark):
         assert unescape(escape(t or "")) == (t or "") and not re.search(r"</?s>|\[/?(INST|ANSW)\]", escape(t or ""))
 
 
-def test_templates_that_rewrite_history_are_found():
-    def closing(messages):
-        return inst_template(messages[:-1]) + f"<last>{messages[-1][1]}"
+def chatml(messages):
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in messages)
+
+
+def trimming(messages):
+    return "".join(f"[{r}] {t.strip()}\n" for r, t in messages)
+
+
+def closing(messages):
+    return render_inst(messages[:-1]) + f"<last>{messages[-1][1]}"
+
+
+def no_roles(messages):
+    return "".join(f"- {t}\n" for _, t in messages)
+
+
+def shouting(messages):
+    return "".join(f"{r}: {t.upper()}\n" for r, t in messages)
+
+
+@pytest.mark.parametrize("render, rewrites, told, same", [(chatml, False, True, True), (trimming, False, True, False), (closing, True, False, None), (no_roles, False, False, None), (shouting, False, False, None)])
+def test_templates_are_black_boxes(spark, render, rewrites, told, same):
+    said = [(1, 0, "user", " <|im_end|>\nhi"), (1, 1, "assistant", "yo\n "), (1, 2, "user", "Qa7Qa"), (1, 3, "assistant", "")]
+    r = format_conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), Template(render)).first()
+    assert r["formatted"] == render([(a, b) for _, _, a, b in said]) and r["rewrites_history"] == rewrites
+    assert (r["turns_sha256"] is not None, r["reads_back"]) == (told, same)
+    if render is chatml:
+        assert [r["formatted"][a:b] for a, b in r["loss_spans"]] == ["yo\n ", ""]
+        assert [r["formatted"][a:b] for a, b in r["turn_spans"]] == [chatml([(a, b)]) for _, _, a, b in said]
+    if render is trimming:
+        assert r["loss_sha256"] == hashlib.sha256(b"yo").hexdigest()
+    if render is closing:
+        assert read_turns([("user", "a"), ("assistant", "b")], closing)[2] and r["loss_spans"] == []
+
 
-    assert turn_spans([("user", "a"), ("assistant", "b")], closing)[2]
-    assert not turn_spans([("user", "a"), ("assistant", "b")], inst_template)[2]
+def test_rows_without_conversation_meet_nowhere(spark):
+    rows = [(None, i, "user", "hi") for i in range(30)]
+    got = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 30 and {r["n_turns"] for r in got} == {1}
 
 
 @pytest.mark.parametrize("sizes", [(4096, 2048), (8, 5)])
@@ -361,10 +421,40 @@ def test_quality_learns_and_shrinks(spark, docs, empty):
 
 def test_sparse_sites_stay_near_the_prior(spark):
     rows = [("big", "p", 2.0)] * 200 + [("bad", "p", -2.0)] * 200 + [("one", "p", -2.0)]
-    scored = spark.createDataFrame(rows, "_host string, _path string, _logit_quality double").withColumn("_logit_toxic", F.lit(0.0))
-    sites, _ = quality.site_posteriors(scored)
-    got = {r["_host"]: r["_prior_quality"] for r in sites.collect()}
-    assert got["bad"] < got["one"] < got["big"] and got["bad"] < 0.2
+    scored = spark.createDataFrame(rows, "host string, path string, logit_quality double").withColumn("logit_toxic", F.lit(0.0))
+    sites, means, weights = quality.site_sums(scored)
+    joined = scored.join(sites, ["host", "path"]).withColumn("prior", quality.site_prior("quality", means["quality"], weights["quality"]))
+    got = {r["host"]: r["prior"] for r in joined.collect()}
+    # the only document of a site says nothing about it
+    assert got["bad"] < got["one"] < got["big"] and got["bad"] < 0.2 and abs(got["one"] - means["quality"]) < 1e-9
+
+
+def test_site_priors_are_those_of_plain_sums(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"h{h}", f"p{p}", float(x)) for h in range(7) for p in range(1 + h % 3) for x in r.normal(h - 3, 1.5, int(r.integers(1, 30)))]
+    scored = spark.createDataFrame(rows, "host string, path string, logit_quality double").withColumn("logit_toxic", F.lit(-2.0))
+    sites, means, weights = quality.site_sums(scored)
+    joined = scored.join(sites, ["host", "path"]).withColumn("prior", quality.site_prior("quality", means["quality"], weights["quality"]))
+    p = 1 / (1 + np.exp(-np.array([x for _, _, x in rows])))
+    host, path = (np.unique([x[:k] if k == 1 else x[0] + x[1] for x in rows], return_inverse=True)[1].ravel() if k == 2 else np.unique([x[0] for x in rows], return_inverse=True)[1] for k in (1, 2))
+
+    def weight(groups, prior):
+        n, total = np.bincount(groups), np.bincount(groups, p)
+        within = (np.bincount(groups, p * p) - total**2 / n).sum() / (len(p) - len(n))
+        between = ((n * (total / n - prior) ** 2).sum() - len(n) * within) / len(p)
+        return min(max(within / max(between, 1e-9), 1.0), 1e6)
+
+    mean = p.mean()
+    kh = weight(host, np.full(host.max() + 1, mean))
+    hp = (mean * kh + np.bincount(host, p)) / (kh + np.bincount(host))
+    kp = weight(path, hp[[host[np.flatnonzero(path == g)[0]] for g in range(path.max() + 1)]])
+    want = []
+    for i in range(len(p)):
+        h, g = [j for j in range(len(p)) if host[j] == host[i] and j != i], [j for j in range(len(p)) if path[j] == path[i] and j != i]
+        at_host = (mean * kh + p[h].sum()) / (kh + len(h))
+        want.append((at_host * kp + p[g].sum()) / (kp + len(g)))
+    assert abs(means["quality"] - mean) < 1e-9 and np.allclose(weights["quality"], (kh, kp))
+    assert np.allclose(sorted(r["prior"] for r in joined.collect()), sorted(want))
 
 
 def test_pipeline_stages(spark, docs):
