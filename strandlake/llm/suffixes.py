@@ -26,8 +26,8 @@ from .common import map_arrow, require, text_buffer, with_unique_rows
 
 #: Bytes of contexts in a shard, but for one anchor's that are more; a worker holds about 150 bytes for each.
 SHARD = 400_000
-#: Names of which there are more than one to so many places are ranked by doubling: a bucket each would cost more.
-PLACES_A_NAME = 8
+#: Where there are more names than one to so many places they are ranked by doubling: a bucket for each would cost more.
+PLACES_A_NAME = 100
 #: Places of a text whose common prefixes are found at once.
 STRIDE = 64
 

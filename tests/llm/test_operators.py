@@ -240,12 +240,28 @@ def test_repeated_bytes(docs, empty, max_classes):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-def test_suffix_arrays_by_induced_sorting():
+@pytest.mark.parametrize("places", [1, 100])
+def test_suffix_arrays_by_induced_sorting(monkeypatch, places):
+    monkeypatch.setattr(suffixes, "PLACES_A_NAME", places)
     for _ in range(200):
-        text = [R.randint(0, R.choice([1, 2, 5])) for _ in range(R.randint(0, 70))]
+        text = [R.randint(0, R.choice([1, 2, 5, 300])) for _ in range(R.randint(0, 70))] * R.choice([1, 1, 5])
         assert suffixes.suffix_array(np.array(text, np.int64)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_permuted_common_prefixes():
+    for _ in range(100):
+        parts = [bytes(R.choices(b"ab\0", k=R.randint(0, 60))) * R.randint(1, 3) for _ in range(R.randint(1, 6))]
+        raw = b"\0".join(parts) + b"\0"
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])
+        text = np.frombuffer(raw, np.uint8).astype(np.uint16) + 1
+        text[bounds[1:] - 1] = 0
+        array, limit = suffixes.suffix_array(text), np.repeat(bounds[1:] - 1, np.diff(bounds))
+        got = suffixes.permuted_lcp(array, raw, limit)
+        for i, j in zip(array.tolist(), array[1:].tolist()):
+            most = min(limit[i] - i, limit[j] - j)
+            assert got[j] == next((k for k in range(most) if raw[i + k] != raw[j + k]), most)
+
+
 @pytest.mark.parametrize("max_classes", [20_000, 1])
 def test_earlier_words(docs, empty, max_classes):
     first = {}
