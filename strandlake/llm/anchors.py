@@ -1,9 +1,10 @@
 """Where repeated windows can be: content-chosen anchors, and what surrounds them.
 
 In every window of W symbols the k-gram with the least hash is chosen, so equal
-windows choose the same one, wherever they are.  Only occurrences of one anchor
-can hold one window, and an anchor's context, the stretch of all windows that
-choose it, tells which do:
+windows choose the same one, wherever they are.  The windows that choose an anchor
+follow one another, and each window chooses one anchor.  Only occurrences of one
+anchor can hold one window, and an anchor's context, the stretch of the windows
+that choose it, tells which do:
 
 * occurrences with equal contexts repeat each other whole;
 * a context that has the anchor and half of the rest of a window in common with
@@ -44,6 +45,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 # What an occurrence is when it is dealt: itself, a sure repeat, one that stands for copies; of an anchor with very many contexts.
 SURE, COPIES, SPREAD = 1, 2, 4
+#: Where in a place its parts begin, above the kind: how far before the anchor the last and the first of its windows start, and where it is.
+LAST, FIRST, POS = 3, 15, 27
+REACH = 4095
 # What becomes of an occurrence.
 WHOLE, NEED, REFERENCE, HOT = 0, 1, 2, 4
 
@@ -107,6 +111,10 @@ class Scheme:
     window: int
     gram: int
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.window <= REACH + self.gram:
+            raise ValueError("anchors must fit into windows, and windows into places")
+
     @property
     def reach(self) -> int:
         """How far before an anchor a window that chooses it can start."""
@@ -117,21 +125,26 @@ class Scheme:
         """A window that chooses an anchor goes on for so many symbols before or after it."""
         return (self.reach + 1) // 2
 
-    def choose(self, hashed: RangeHash, bounds: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places of chosen k-grams and the documents they are in; ``bounds`` cuts symbols into documents."""
+    def choose(self, hashed: RangeHash, bounds: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Places of chosen k-grams, the documents they are in, and the first and last starts of windows that choose them.
+
+        ``bounds`` cuts symbols into documents.
+        """
         total = int(bounds[-1])
         if total < self.window:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
         grams = hashed.grams(self.gram)
         order = (grams >> np.uint64(32)) << np.uint64(32)
         if rank is not None:
             order = (rank[: len(grams)].astype(np.uint64) << np.uint64(56)) | ((order >> np.uint64(8)) & np.uint64(0x00FFFFFF00000000))
         least = sliding_min(order | np.arange(len(grams), dtype=np.uint64), self.reach + 1)
         left = np.repeat(bounds[1:], np.diff(bounds))[: len(least)] - np.arange(len(least))
-        chosen = np.zeros(len(grams), bool)
-        chosen[(least[left >= self.window] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(chosen)
-        return at, np.searchsorted(bounds, at, "right") - 1
+        start = np.flatnonzero(left >= self.window)
+        chosen = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # of equal k-grams the first is chosen, so choices never go back within a document
+        head = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])) if len(chosen) else np.zeros(0, np.int64)
+        at = chosen[head]
+        return at, np.searchsorted(bounds, at, "right") - 1, start[head], start[np.append(head[1:], len(start)) - 1] if len(head) else head
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -156,25 +169,25 @@ def _half(hashed: RangeHash, start: np.ndarray, end: np.ndarray, inside: np.ndar
 
 
 def _found(data: np.ndarray, offsets: np.ndarray, scheme: Scheme, symbols: Symbols) -> tuple[np.ndarray, ...] | None:
-    """anchor, context, halves, document and place of the anchors of a block."""
+    """anchor, context, halves, document and packed place of the anchors of a block."""
     values, bounds, rank = symbols(data, offsets, scheme.gram)
     hashed = RangeHash(values)
-    at, d = scheme.choose(hashed, bounds, rank)
+    at, d, first, last = scheme.choose(hashed, bounds, rank)
     if not len(at):
         return None
-    low, high = bounds[d], bounds[d + 1]
+    low, high, most, least = bounds[d], bounds[d + 1], at - first, at - last
     anchor = mix(hashed(at, at + scheme.gram)).view(np.int64)
-    ctx = hashed(np.maximum(low, at - scheme.reach), np.minimum(high, at + scheme.window))
-    ctx = mix(ctx + np.minimum(at - low, scheme.reach).astype(np.uint64)).view(np.int64)
-    before = _half(hashed, at - scheme.half, at + scheme.gram, at - scheme.half >= low)
-    after = _half(hashed, at, at + scheme.gram + scheme.half, at + scheme.gram + scheme.half <= high)
-    return anchor, ctx, ((before << np.uint64(32)) | after).view(np.int64), d, at - low
+    ctx = mix(hashed(first, last + scheme.window) + most.astype(np.uint64)).view(np.int64)
+    # a half counts only if some window of its own has all of it
+    before = _half(hashed, at - scheme.half, at + scheme.gram, (at - scheme.half >= low) & (most >= scheme.half))
+    after = _half(hashed, at, at + scheme.gram + scheme.half, (at + scheme.gram + scheme.half <= high) & (least < scheme.half))
+    return anchor, ctx, ((before << np.uint64(32)) | after).view(np.int64), d, ((at - low) << POS) | (most << FIRST) | (least << LAST)
 
 
 def occurrences(rows: DataFrame, scheme: Scheme, symbols: Symbols, ordered: bool, hot: np.ndarray) -> DataFrame:
     """(key, ctx, halves, doc, row, at): anchors, contexts and places; copies within a batch are settled here.
 
-    ``rows`` has row, doc (a long) and text.  ``at`` holds place and kind.  Sure
+    ``rows`` has row, doc (a long) and text.  ``at`` holds place, windows and kind.  Sure
     repeats are dealt by a scattered key, the occurrences of ``hot`` anchors by
     their contexts, others by their anchors.  ``ordered``: only what repeats a
     smaller doc counts; otherwise doc is 0.
@@ -193,10 +206,10 @@ def occurrences(rows: DataFrame, scheme: Scheme, symbols: Symbols, ordered: bool
         cls, size = np.cumsum(new) - 1, np.diff(np.append(start, len(new)))
         sure = doc > doc[start][cls] if ordered else size[cls] > 1
         key = np.where(sure, mix(row.view(np.uint64) * np.uint64(31) + pos.view(np.uint64)).view(np.int64), anchor)
-        columns = [key, ctx, halves, doc, row, (pos << 3) | np.where(sure, SURE, 0) | np.where(spread, SPREAD, 0)]
+        columns = [key, ctx, halves, doc, row, pos | np.where(sure, SURE, 0) | np.where(spread, SPREAD, 0)]
         if not ordered:
             rep = start[size > 1]
-            stands = [anchor[rep], ctx[rep], halves[rep], doc[rep], row[rep], (pos[rep] << 3) | COPIES | np.where(spread[rep], SPREAD, 0)]
+            stands = [anchor[rep], ctx[rep], halves[rep], doc[rep], row[rep], pos[rep] | COPIES | np.where(spread[rep], SPREAD, 0)]
             columns = [np.concatenate(x) for x in zip(columns, stands)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "ctx", "halves", "doc", "row", "at"])
 
@@ -278,7 +291,6 @@ def settle(found: DataFrame, ordered: bool) -> DataFrame:
                 out.append((key[rep], row[rep], doc[rep], at[rep], REFERENCE | hot[rep]))
             out.append((key[picked], row[picked], doc[picked], at[picked], role[picked]))
         columns = [np.concatenate(c) for c in zip(*out)]
-        columns[3] = columns[3] >> 3
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.int32())], ["anchor", "row", "doc", "at", "role"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +327,8 @@ def contexts(rows: DataFrame, reps: DataFrame, scheme: Scheme, symbols: Symbols)
                 last = first + len(bounds) - 1
                 own = slice(ends[first], ends[last])
                 d = np.repeat(np.arange(len(bounds) - 1), np.diff(ends[first : last + 1]))
-                low, high, p = bounds[d], bounds[d + 1], bounds[d] + at[own]
-                a, b = np.maximum(low, p - scheme.reach), np.minimum(high, p + scheme.window)
+                low, p = bounds[d], bounds[d] + (at[own] >> POS)
+                a, b = p - (at[own] >> FIRST & REACH), p - (at[own] >> LAST & REACH) + scheme.window
                 pieces = [values[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
                 taken = pa.array(first + d, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -401,7 +413,9 @@ def repeated(rows: DataFrame, scheme: Scheme, symbols: Symbols, work: Shard, *,
         closer = closer.union(by_windows(ctx.where(F.col("role") >= HOT), scheme, ordered))
     closer = materialize(closer, "closer")
     release(ctx)
-    whole = roles.where(F.col("role") == WHOLE).select("row", (F.col("at") - scheme.reach).alias("s"), (F.col("at") + scheme.window).alias("e"))
+    part = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit(REACH))
+    place = F.shiftright("at", POS)
+    whole = roles.where(F.col("role") == WHOLE).select("row", (place - part(FIRST)).alias("s"), (place - part(LAST) + scheme.window).alias("e"))
     spans = materialize(whole.union(closer).groupBy("row").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")), "spans")
     release(roles, closer)
     return spans
