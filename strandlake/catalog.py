@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("scalar", "codes", "channel", "results", "archive")
+FAMILIES = ("scalar", "codes", "channel", "results", "archive", "edits")
 
 
 def _all(kind: str) -> dict:

@@ -117,10 +117,102 @@ def kmer_channel(dna: Column, k: int, seed: int, *ids: Column) -> Column:
 
 
 def downsample(df: DataFrame, share: float, seed: int, *ids: str) -> DataFrame:
-    """A share of the rows, each by its own draw; the same rows at every size and partitioning."""
-    return df.where(u32(seed, "down", *[F.col(i) for i in ids]) >= threshold(share))
+    """Without a share of the rows: ceil((1 - share) * n) stay, those with the least draws; the same rows in every partitioning.
+
+    The draw that the last of them has is found by counting draws in ever smaller
+    ranges, so no row is ranked against all others in one place.
+    """
+    drawn = df.withColumn("_draw", u32(seed, "down", *[F.col(i) for i in ids]))
+    total = drawn.count()
+    wanted, low, width = math.ceil(round((1 - share) * total, 9)), 0, RANGE
+    before = 0
+    while width > 1:
+        step = max(1, width // 256)
+        counts = {r["s"]: r["n"] for r in drawn.where((F.col("_draw") >= low) & (F.col("_draw") < low + width)).groupBy(F.floor((F.col("_draw") - low) / step).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if before + sum(counts.values()) <= wanted:
+            return drawn.where(F.col("_draw") < low + width).drop("_draw")
+        for s in sorted(counts):
+            if before + counts[s] > wanted:
+                low, width = low + s * step, step
+                break
+            before += counts[s]
+    # rows of one draw, a few at most: by their ids
+    tied = drawn.where(F.col("_draw") == low).orderBy(*ids).limit(wanted - before)
+    return drawn.where(F.col("_draw") < low).unionByName(tied).drop("_draw")
+
+
+def simulations(coded: DataFrame, n: int) -> DataFrame:
+    """``coded`` once for each simulation, with its number."""
+    return coded.withColumn("sim", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(n)])))
+
+
+def split_counts(pool: DataFrame, count: str, share: float, seed: int, *ids: str) -> DataFrame:
+    """``pool`` of strands with a count of reads, with clean and faulty: each read is faulty by its own draw; no row a read is made."""
+    hit = F.filter(indexes(F.col(count)), lambda k: u32(seed, "pick", *[F.col(i) for i in ids], k) < threshold(share))
+    return pool.withColumn("faulty", F.size(hit).cast("bigint")).withColumn("clean", (F.col(count) - F.col("faulty")).cast("bigint"))
+
+
+def _least_draws(n: Column, k: int, seed: int, stream: str, *ids: Column) -> Column:
+    """The ``k`` places of [0, n) with the least draws."""
+    ranked = F.array_sort(F.transform(indexes(n), lambda i: F.struct(u32(seed, stream, *ids, i).alias("u"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, k), lambda p: p["i"])
+
+
+def mutate_at_distance(dna: Column, distance: int, seed: int, *ids: Column) -> Column:
+    """Exactly ``distance`` substitutions (or as many as there are bases), at the places with the least draws."""
+    places = _least_draws(F.length(dna), distance, seed, "place", *ids)
+    return F.concat_ws("", F.transform(indexes(F.length(dna)), lambda i: F.when(F.array_contains(places, i), F.translate(at(dna, i), "ACGT", "CGTA")).otherwise(at(dna, i))))
+
+
+def mutate_same_length(dna: Column, seed: int, *ids: Column) -> Column:
+    """One base deleted and one inserted far from it, so that two edits are the least and the length stays.
+
+    The base goes from a place in the first third and comes in the last third; it
+    is inserted next to a base of another kind than the one that went would shift
+    there.  Strands of fewer than twelve bases have two substitutions instead.
+    """
+    n = F.length(dna)
+    third = F.floor(n / 3).cast("int")
+    gone = (u32(seed, "gone", *ids) % F.greatest(third, F.lit(1))).cast("int")
+    come = (n - 1 - u32(seed, "come", *ids) % F.greatest(third, F.lit(1))).cast("int")
+    shifted = F.concat(F.substr(dna, F.lit(1), gone), F.substr(dna, gone + 2, come - gone), F.translate(at(dna, come), "ACGT", "GTAC"), F.substr(dna, come + 2, n))
+    # a stretch of like bases shifts onto itself: where that leaves fewer than two edits, substitute
+    plain = mutate_at_distance(dna, 2, seed, *ids)
+    return F.when((n >= 12) & (F.levenshtein(dna, shifted) == 2), shifted).otherwise(plain)
 
 
 def replay(records: DataFrame, mapping: DataFrame, library: DataFrame) -> DataFrame:
     """Reads of an experiment with the strand each came from: record to index, index to strand."""
     return records.join(mapping, "record_id").join(library, "index")
+
+
+#: Distributions of read counts by name: options to the cumulative probabilities that ``draw_count`` takes.
+DISTRIBUTIONS = {"poisson": poisson_cdf, "negative_binomial": negative_binomial_cdf}
+#: Channels by name: (dna, seed, ids, options) to a strand with faults.
+CHANNELS = {
+    "fixed_rate": lambda dna, seed, ids, rate=0.01: mutate(dna, threshold(rate), seed, *ids),
+    "substitutions": lambda dna, seed, ids, rate=0.01: substitute_only(dna, threshold(rate), seed, *ids),
+    "rates": lambda dna, seed, ids, rates=(): mutate(dna, 0, seed, *ids, rates=F.array(*[F.lit(threshold(r)) for r in rates]).cast("array<bigint>")),
+    "pattern": lambda dna, seed, ids, pattern="D": apply_pattern(dna, (u32(seed, "start", *ids) % F.greatest(F.length(dna), F.lit(1))).cast("int"), pattern),
+    "kmer": lambda dna, seed, ids, k=6: kmer_channel(dna, k, seed, *ids),
+}
+
+
+def open_distribution(name: str, draw: Column, **options) -> Column:
+    """How often a strand is read, by the name of a distribution."""
+    if name == "bernoulli":
+        return bernoulli_count(draw, options["p"], options["n"])
+    if name not in DISTRIBUTIONS:
+        raise ValueError(f"unknown distribution {name}; known: bernoulli, {', '.join(DISTRIBUTIONS)}")
+    return draw_count(DISTRIBUTIONS[name](**options), draw)
+
+
+def open_channel(name: str, dna: Column, seed: int, *ids: Column, **options) -> Column:
+    """A strand after a channel, by the channel's name."""
+    if name not in CHANNELS:
+        raise ValueError(f"unknown channel {name}; known: {', '.join(CHANNELS)}")
+    return CHANNELS[name](dna, seed, ids, **options)
+
+
+def channel_names() -> dict[str, list[str]]:
+    return {"channels": sorted(CHANNELS), "distributions": sorted([*DISTRIBUTIONS, "bernoulli"])}

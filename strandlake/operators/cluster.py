@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-import numpy as np
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import column_consensus
+from .edits import DELETE, INSERT, MATCH, align_pairs
+
 
 def _ensure_checkpoint_dir(spark) -> None:
+    """Checkpoints go to the folder of ``spark.checkpoint.dir``; where that is unset, to a temporary one of a local master only."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandlake-"))
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
@@ -49,57 +57,27 @@ def cluster_reads(members: DataFrame, pairs: DataFrame, min_size: int = 4) -> Da
     return placed.join(large, "cluster").select("id", "cluster")
 
 
-def align(a: str, b: str) -> tuple[str, str]:
-    """Global alignment with match 1, mismatch and gap -1; ties prefer the diagonal, then a gap in ``b``."""
-    n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    score[:, 0], score[0] = -np.arange(n + 1), -np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i, j] = max(score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
-    i, j, x, y = n, m, [], []
-    while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
-            i, j = i - 1, j - 1
-            x.append(a[i]), y.append(b[j])
-        elif i and score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-            x.append(a[i]), y.append("-")
-        else:
-            j -= 1
-            x.append("-"), y.append(b[j])
-    return "".join(x[::-1]), "".join(y[::-1])
-
-
 def star_rows(reads: list[str]) -> list[str]:
-    """Reads aligned to the one with the least total edit length to the others; inserts are merged column by column."""
+    """Reads aligned to the one with the least total edit distance to the others; inserts are merged column by column."""
     if not reads:
         return []
-    lengths = [len(r) for r in reads]
-    centre = reads[min(range(len(reads)), key=lambda i: (sum(abs(lengths[i] - x) for x in lengths), i))]
-    pairs = [align(centre, r) for r in reads]
-    room = [0] * (len(centre) + 1)
-    for c, _ in pairs:
-        at = run = 0
-        for ch in c:
-            if ch == "-":
-                run += 1
-            else:
-                room[at] = max(room[at], run)
-                at, run = at + 1, 0
-        room[at] = max(room[at], run)
-    out = []
-    for c, r in pairs:
-        cells: list[list[str]] = [[] for _ in range(len(centre) + 1)]
-        bases, at = [], 0
-        for x, y in zip(c, r):
-            if x == "-":
-                cells[at].append(y)
+    n = len(reads)
+    apart = [sum(x != MATCH for x in c) for c in align_pairs([r for r in reads for _ in reads], reads * n)]
+    centre = reads[min(range(n), key=lambda i: (sum(apart[i * n : i * n + n]), i))]
+    rows, room = [], [0] * (len(centre) + 1)
+    for read, columns in zip(reads, align_pairs([centre] * n, reads)):
+        # what stands before each base of the centre, and the base that is read there
+        before, bases, at = [""], [], 0
+        for c in columns:
+            if c == INSERT:
+                before[-1] += read[at]
             else:
-                bases.append(y)
-                at += 1
-        out.append("".join("".join(cells[k]).ljust(room[k], "-") + (bases[k] if k < len(centre) else "") for k in range(len(centre) + 1)))
-    return out
+                bases.append("-" if c == DELETE else read[at])
+                before.append("")
+            at += c != DELETE
+        room = [max(x, len(y)) for x, y in zip(room, before)]
+        rows.append((before, bases))
+    return ["".join(x.ljust(r, "-") + y for x, r, y in zip(before, room, [*bases, ""])) for before, bases in rows]
 
 
 def star_alignment(reads: DataFrame, cluster: str, order: str, text: str, sample: int = 15) -> DataFrame:
@@ -117,3 +95,9 @@ def star_alignment(reads: DataFrame, cluster: str, order: str, text: str, sample
 
     return firsts.groupBy(cluster).applyInArrow(run, f"{cluster} {kind}, row_no int, aligned string")
 
+
+def cluster_consensus(reads: DataFrame, cluster: str, order: str, text: str, sample: int = 15) -> DataFrame:
+    """(cluster, consensus, weight): what the aligned reads of a cluster say, and how many there are."""
+    sizes = reads.groupBy(cluster).agg(F.count(F.lit(1)).alias("weight"))
+    said = column_consensus(star_alignment(reads, cluster, order, text, sample), cluster, "aligned")
+    return said.join(sizes, cluster).select(cluster, "consensus", "weight")

@@ -120,7 +120,7 @@ def hedges_encode(df: DataFrame, column: str, out: str, code: Hedges) -> DataFra
     return with_column(df, out, T.StringType(), column, lambda rows: [None if cw is None or None in cw else code.encode(bytes(cw[:k]), bytes(cw[k:])) for cw in rows])
 
 
-def hedges_decode(df: DataFrame, column: str, out: str, code: Hedges, max_guesses: int = 5_000) -> DataFrame:
+def hedges_decode(df: DataFrame, column: str, out: str, code: Hedges, max_guesses: int = 100_000) -> DataFrame:
     """A strand to codewords; what the search did not reach is null."""
 
     def fn(rows: list) -> list:
@@ -153,7 +153,7 @@ def hedges_orient(df: DataFrame, column: str, out: str, code: Hedges, forward: i
     return with_column(df, out, T.StringType(), column, fn)
 
 
-def hedges_pick_rate(df: DataFrame, column: str, out: str, codes: dict[str, Hedges], max_guesses: int = 300) -> DataFrame:
+def hedges_pick_rate(df: DataFrame, column: str, out: str, codes: dict[str, Hedges], max_guesses: int = 5_000) -> DataFrame:
     """The name of the code that decodes a strand with the fewest losses; the first of equals."""
 
     def fn(rows: list) -> list:

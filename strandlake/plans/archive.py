@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import convert as C
-from ..functions.rng import u32
-from ..functions.strand import hamming, reverse_complement
+from ..functions.rng import sql_u32, threshold
+from ..functions.strand import reverse_complement
 from ..operators import aggregate as A
+from ..operators import archive as R
 from ..operators import channel as N
 from ..operators import cluster as G
 from ..operators import pipeline as P
+from ..operators.outer import Layout
 from ..streaming import reads as S
 from .base import STRANDS, Family, big, strands, table
-from .results import _BANDS, _NEAR, _pairs, distinct_strands
+from .results import _BANDS, _NEAR, _SEARCH, _pairs, distinct_strands
 
 family = Family()
 add = family.add
 P5, P3 = "TAAAGGAAAAAGCCTTCGAT", "CAAAATATAAAACGTTACCG"
 
 
-@add("pipeline_roundtrip", "SELECT p_partkey AS id, p_name AS txt FROM part")
+@add("pipeline_roundtrip", f"SELECT p_partkey AS id, p_name AS txt, 4 * (length(p_name) + 6) + 40 AS bases, '{P5}' || '|' || '{P3}' AS ends FROM part")
 def pipeline_roundtrip(spark, sf):
     line = P.rs_base4(P5, P3, inner_ecc=6)
     coded = line.encode(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.utf8_bytes(F.col("p_name")).alias("cw")))
-    turned = coded.withColumn("dna", F.when(F.col("id") % 2 == 0, reverse_complement(F.col("dna"))).otherwise(F.col("dna")))
-    return line.decode(turned).select("id", C.bytes_to_text(F.col("cw")).alias("txt"))
+    seen = coded.withColumns({"bases": big(F.length("dna"), "bases"), "ends": F.concat_ws("|", F.substring("dna", 1, 20), F.substring("dna", -20, 20))})
+    turned = seen.withColumn("dna", F.when(F.col("id") % 2 == 0, reverse_complement(F.col("dna"))).otherwise(F.col("dna")))
+    return line.decode(turned).select("id", C.bytes_to_text(F.col("cw")).alias("txt"), "bases", "ends")
 
 
 @add("rejected_reads", "SELECT p_partkey AS id FROM part WHERE p_partkey % 4 = 0")
@@ -35,6 +38,40 @@ def rejected_reads(spark, sf):
     return line.rejected(coded.withColumn("dna", F.when(F.col("id") % 4 == 0, F.lit("GC" * 60)).otherwise(F.col("dna")))).select("id")
 
 
+@add("decode_chain", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'none' END AS line, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS txt FROM part")
+def decode_chain(spark, sf):
+    """Two lines with primers of their own read one pool in turn; strands of neither are left."""
+    lines = {"first": P.rs_base4(P5, P3), "second": P.rs_base4(P3[::-1], P5[::-1])}
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.utf8_bytes(F.col("p_name")).alias("cw"))
+    pool = lines["first"].encode(rows.where("id % 3 = 0")).unionByName(lines["second"].encode(rows.where("id % 3 = 1")))
+    pool = pool.unionByName(rows.where("id % 3 = 2").select("id", F.lit("GC" * 60).alias("dna")))
+    found, rest = P.decode_chain(pool, lines)
+    return found.select("id", "line", C.bytes_to_text(F.col("cw")).alias("txt")).unionByName(rest.select("id", F.lit("none").alias("line"), F.lit(None).cast("string").alias("txt")))
+
+
+ARCHIVE = R.Design(layout=Layout(packet_bytes=60, strand_bytes=12, data=5, parity=2), header_layout=Layout(packet_bytes=160, strand_bytes=20, data=8, parity=3))
+
+
+@add("archive_file", "SELECT s_suppkey AS file_id, s_name AS text, md5(s_name) AS md5, 's' || s_suppkey || '.txt' AS filename, TRUE AS sound FROM supplier")
+def archive_file(spark, sf):
+    """Files to strands and back, header first: one sub-packet in five is lost, half of the reads are reversed."""
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file_id"), F.encode("s_name", "UTF-8").alias("content"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("filename"))
+    coded = R.write(names, ARCHIVE)
+    place = F.split("id", "/")
+    arrived = coded.where((F.element_at(place, 3).cast("int") + F.col("file_id")) % 5 != 4)
+    turned = arrived.withColumn("dna", F.when(F.length("id") % 2 == 0, reverse_complement(F.col("dna"))).otherwise(F.col("dna")))
+    return R.read(turned.select("file_id", "dna"), ARCHIVE).select("file_id", F.decode("content", "UTF-8").alias("text"), "md5", "filename", "sound")
+
+
+@add("archive_strands", "SELECT s_suppkey AS file_id, 7::BIGINT AS data, 11 * ceil((34 + length('s' || s_suppkey || '.txt') + length('{\"inner_ecc\":4,\"layout\":{\"data\":5,\"packet_bytes\":60,\"parity\":2,\"strand_bytes\":12}}')) / 160.0)::BIGINT AS header, 40 + 4 * (5 + 12 + 4)::BIGINT AS bases FROM supplier")
+def archive_strands(spark, sf):
+    """How many strands files and headers take, and how long they are."""
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file_id"), F.encode("s_name", "UTF-8").alias("content"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("filename"))
+    coded = R.write(names, ARCHIVE)
+    data = F.col("id").startswith(f"{R.DATA_BARCODE}/")
+    return coded.groupBy("file_id").agg(F.count_if(data).alias("data"), F.count_if(~data).alias("header"), big(F.max(F.when(data, F.length("dna"))), "bases"))
+
+
 @add("lsh_cluster", f"{_BANDS.replace('WITH s0', 'WITH RECURSIVE s0')}, n AS ({_NEAR}), e AS (SELECT a AS x, b AS y FROM n UNION SELECT b, a FROM n), r(id, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id WHERE r.root < e.y), c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id), m AS (SELECT s.id, coalesce(c.cluster, u.id) AS cluster FROM strands s JOIN u ON s.dna = u.dna LEFT JOIN c ON c.id = u.id) SELECT id, cluster FROM m QUALIFY count(*) OVER (PARTITION BY cluster) >= 4")
 def lsh_cluster(spark, sf):
     first = distinct_strands(spark, sf).withColumnRenamed("id", "first")
@@ -44,32 +81,44 @@ def lsh_cluster(spark, sf):
 
 @add("msa_star")
 def msa_star(spark, sf):
-    pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), C.base4_encode(C.utf8_bytes(F.substring("s_name", -4, 4))).alias("dna"))
+    pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), C.base4_encode(C.utf8_bytes(F.col("s_name"))).alias("dna"))
     reads = pool.select("id", F.explode(C.indexes(4)).alias("copy"), "dna").withColumn("dna", N.mutate(F.col("dna"), 1 << 27, 12, F.col("id"), F.col("copy")))
     return G.star_alignment(reads, "id", "copy", "dna")
 
 
-@add("dna_error_probe", f"WITH {STRANDS} SELECT id, levenshtein(dna, reverse(dna))::BIGINT AS edits, dna = reverse(dna) AS intact FROM strands")
-def dna_error_probe(spark, sf):
-    return strands(spark, sf).select("id", big(F.levenshtein("dna", F.reverse("dna")), "edits"), (F.col("dna") == F.reverse("dna")).alias("intact"))
+@add("cluster_consensus", "SELECT s_suppkey AS cluster, s_name AS txt, 5::BIGINT AS weight FROM supplier")
+def cluster_consensus(spark, sf):
+    """Five reads a strand, each with another base wrong: aligned, voted, decoded."""
+    pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), C.base4_encode(C.utf8_bytes(F.col("s_name"))).alias("dna"))
+    at = F.col("copy") * 11 + F.col("id") % 7 + 3
+    worn = F.concat(F.substr("dna", F.lit(1), at), F.translate(F.substr("dna", at + 1, F.lit(1)), "ACGT", "CGTA"), F.substr("dna", at + 2, F.length("dna")))
+    reads = pool.select("id", F.explode(C.indexes(5)).alias("copy"), "dna").select("id", "copy", worn.alias("dna"))
+    found = G.cluster_consensus(reads, "id", "copy", "dna")
+    return found.select(F.col("id").alias("cluster"), C.bytes_to_text(C.base4_decode(F.col("consensus"))).alias("txt"), "weight")
 
 
-@add("mutate", "SELECT p_partkey AS id, 3::BIGINT AS distance FROM part")
+_PLACES = f"(list_transform(list_sort(list_transform(range(0, length(dna)), lambda i: {{'u': {sql_u32(13, 'place', 'id', 'i')}, 'i': i}})), lambda x: x.i))[1:3]"
+
+
+@add("mutate", f"WITH {STRANDS}, p AS (SELECT id, dna, {_PLACES} AS places FROM strands) SELECT id, array_to_string(list_transform(range(0, length(dna)), lambda i: CASE WHEN list_contains(places, i) THEN translate(substr(dna, (i + 1)::INT, 1), 'ACGT', 'CGTA') ELSE substr(dna, (i + 1)::INT, 1) END), '') AS dna FROM p")
 def mutate(spark, sf):
     """Exactly three substitutions, at the three places with the least draws."""
     s = strands(spark, sf).select("id", "dna")
-    ranked = F.array_sort(F.transform(C.indexes(F.length("dna")), lambda i: F.struct(u32(13, "place", F.col("id"), i).alias("u"), i.alias("i"))))
-    picked = s.select("id", "dna", F.transform(F.slice(ranked, 1, 3), lambda p: p["i"]).alias("at"))
-    new = F.concat_ws("", F.transform(C.indexes(F.length("dna")), lambda i: F.when(F.array_contains("at", i), F.translate(F.substr("dna", i + 1, F.lit(1)), "ACGT", "CGTA")).otherwise(F.substr("dna", i + 1, F.lit(1)))))
-    return picked.select("id", "dna", new.alias("new")).select("id", big(hamming(F.col("dna"), F.col("new")), "distance"))
+    return s.select("id", N.mutate_at_distance(F.col("dna"), 3, 13, F.col("id")).alias("dna"))
+
+
+@add("mutate_ed", f"WITH {STRANDS} SELECT id, length(dna)::BIGINT AS n, 2::BIGINT AS edits FROM strands")
+def mutate_ed(spark, sf):
+    """A base goes and another comes elsewhere: the length stays, the edit distance is two."""
+    s = strands(spark, sf).select("id", "dna").withColumn("new", N.mutate_same_length(F.col("dna"), 14, F.col("id")))
+    return s.select("id", big(F.length("new"), "n"), big(F.levenshtein("dna", "new"), "edits"))
 
 
-@add("inject_compressed", f"WITH {STRANDS}, c AS (SELECT id, dna, unnest(range(0, id % 4)) AS k FROM strands), f AS (SELECT id, k FROM c ORDER BY ('0x' || substr(md5(concat_ws(':', '14', 'pick', id, k)), 1, 8))::BIGINT, id, k LIMIT 50) SELECT id, (id % 4 - count(*))::BIGINT AS clean, count(*)::BIGINT AS faulty FROM f GROUP BY id")
+@add("inject_compressed", f"WITH {STRANDS}, c AS (SELECT id, unnest(range(0, id % 4)) AS k FROM strands), f AS (SELECT id, k, {sql_u32(14, 'pick', 'id', 'k')} < {threshold(0.25)} AS hit FROM c) SELECT id, sum((NOT hit)::INT)::BIGINT AS clean, sum(hit::INT)::BIGINT AS faulty FROM f GROUP BY id")
 def inject_compressed(spark, sf):
-    """Fifty reads of a pool of (strand, count) become faulty; their strands' clean counts fall."""
-    copies = strands(spark, sf).select("id", F.explode(C.indexes(F.col("id") % 4)).alias("k"))
-    faulty = copies.orderBy(u32(14, "pick", F.col("id"), F.col("k")), "id", "k").limit(50)
-    return faulty.groupBy("id").agg(F.count(F.lit(1)).alias("faulty")).select("id", (F.col("id") % 4 - F.col("faulty")).alias("clean"), "faulty")
+    """A quarter of the reads of a pool of (strand, count) becomes faulty; their strands' clean counts fall."""
+    pool = strands(spark, sf).select("id", (F.col("id") % 4).alias("count"))
+    return N.split_counts(pool, "count", 0.25, 14, "id").where("count > 0").select("id", "clean", "faulty")
 
 
 @add("chi_square", "WITH o AS (SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS bins FROM o) SELECT round(sum((n - total / bins) ** 2 / (total / bins))::DOUBLE, 6) AS chi2 FROM o, t")
@@ -78,24 +127,14 @@ def chi_square(spark, sf):
     return o.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("bins"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")).select(F.round(F.col("squares") * F.col("bins") / F.col("total") - F.col("total"), 6).alias("chi2"))
 
 
-@add("base_error_rate", f"WITH {STRANDS} SELECT length(dna)::BIGINT AS n, round(sum(levenshtein(dna, reverse(dna))) / sum(length(dna))::DOUBLE, 9) AS rate FROM strands GROUP BY 1")
-def base_error_rate(spark, sf):
-    s = strands(spark, sf).select(big(F.length("dna"), "n"), F.levenshtein("dna", F.reverse("dna")).alias("e"))
-    return s.groupBy("n").agg(F.round(F.sum("e") / F.sum("n").cast("double"), 9).alias("rate"))
-
-
-@add("position_error_curve", "SELECT l_linenumber::BIGINT AS pos, round(sum(l_discount + l_tax) / sum(l_quantity), 9) AS rate FROM lineitem GROUP BY 1")
-def position_error_curve(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(big(F.col("l_linenumber"), "pos")).agg(F.round(F.sum(F.col("l_discount") + F.col("l_tax")) / F.sum("l_quantity"), 9).alias("rate"))
-
-
-@add("cost_curve")
+@add("cost_curve", f"WITH RECURSIVE designs AS (SELECT n_nationkey AS d, 0.6 + n_nationkey / 64.0::DOUBLE AS p, 47 AS s FROM nation), {_SEARCH} SELECT round(p, 9) AS p, parity, u.depth, round((255 - parity) * 47 * 8 / (255 * 240.0::DOUBLE), 9) AS write_density, round((255 - parity) * 47 * 8 / (255 * 240.0::DOUBLE) / u.depth, 9) AS read_density FROM f, (VALUES (3), (5), (10)) u(depth)")
 def cost_curve(spark, sf):
     designs = table(spark, sf, "nation").select((0.6 + F.col("n_nationkey") / 64).alias("p"), F.lit(47).alias("strand_bytes"))
     found = A.outer_code_search(designs)
     depth = F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("depth")
     density = (255 - F.col("parity")) * F.col("strand_bytes") * 8 / (255 * 240.0)
-    return found.select("p", "parity", depth, density.alias("write_density")).withColumn("read_density", F.col("write_density") / F.col("depth"))
+    rows = found.select(F.round("p", 9).alias("p"), "parity", depth, density.alias("write_density"))
+    return rows.select("p", "parity", "depth", F.round("write_density", 9).alias("write_density"), F.round(F.col("write_density") / F.col("depth"), 9).alias("read_density"))
 
 
 @add("stats_persist", "SELECT event_type || '=' || count(*) AS line FROM events GROUP BY event_type ORDER BY 1")

@@ -112,12 +112,15 @@ def inject_pattern(spark, sf):
     return strands(spark, sf).select("id", N.apply_pattern(F.col("dna"), F.lit(10), "DRI").alias("dna"))
 
 
-@add("inject_kmer")
+_HITK, _KINDK = sql_u32(8, "kmer", "id", "i"), sql_u32(8, "kmer", "id", "i", lane=1)
+
+
+@add("inject_kmer", f"WITH {STRANDS} SELECT id, array_to_string(list_transform(range(0, length(dna)), lambda i: CASE WHEN {_HITK} >= CASE WHEN regexp_matches(substr(dna, greatest(i - 4, 1)::INT, least(i + 1, 6)::INT), 'AAA|CCC|GGG|TTT') THEN {threshold(0.10)} ELSE {threshold(0.025)} END THEN substr(dna, (i + 1)::INT, 1) WHEN {_KINDK} % 2 = 0 THEN '' ELSE translate(substr(dna, (i + 1)::INT, 1), 'ACGT', 'GTAC') END), '') AS dna FROM strands")
 def inject_kmer(spark, sf):
     return strands(spark, sf).select("id", "dna").select("id", N.kmer_channel(F.col("dna"), 6, 8, F.col("id")).alias("dna"))
 
 
-@add("downsample", f"SELECT p_partkey AS id FROM part WHERE {sql_u32(0, 'down', 'p_partkey')} >= {threshold(0.4)}")
+@add("downsample", f"SELECT p_partkey AS id FROM part QUALIFY row_number() OVER (ORDER BY {sql_u32(0, 'down', 'p_partkey')}, p_partkey) <= ceil(0.6 * count(*) OVER ())")
 def downsample(spark, sf):
     return N.downsample(table(spark, sf, "part"), 0.4, 0, "p_partkey").select(F.col("p_partkey").alias("id"))
 
@@ -135,8 +138,15 @@ def channel(spark, sf):
     return reads.select((F.col("id") * 10 + F.col("copy_no")).alias("id"), "dna").select("id", N.mutate(F.col("dna"), LIMIT, 9, F.col("id")).alias("dna"))
 
 
-@add("monte_carlo", f"WITH {STRANDS}, r AS (SELECT id * 100 + k AS id, k AS sim, dna FROM (SELECT id, dna, unnest(range(0, 3)) AS k FROM strands)), n AS (SELECT sim, dna, {_sql_mutate(str(LIMIT), 10)} AS noisy FROM r) SELECT sim, count(*)::BIGINT AS strands, sum((dna = noisy)::INT)::BIGINT AS intact FROM n GROUP BY sim")
+_BACK = "list_transform(range(0, length(dna) // 4), lambda k: list_sum(list_transform(range(0, 4), lambda j: (instr('ACGT', substr(noisy, (4 * k + j + 1)::INT, 1)) - 1) * (4 ** j)::INT))::INT)"
+
+
+@add("monte_carlo", f"WITH {STRANDS}, r AS (SELECT id * 100 + k AS id, k AS sim, dna FROM (SELECT id, dna, unnest(range(0, 3)) AS k FROM strands)), n AS (SELECT sim, dna, array_to_string(list_transform(range(0, length(dna)), lambda i: CASE WHEN {_HIT} < {threshold(0.003)} THEN substr('ACGTACGT', (instr('ACGT', substr(dna, (i + 1)::INT, 1)) + {_STEP} % 3 + 1)::INT, 1) ELSE substr(dna, (i + 1)::INT, 1) END), '') AS noisy FROM r), b AS (SELECT sim, dna = noisy AS same, {_BACK} AS got, {_BACK.replace('noisy', 'dna')} AS stored FROM n) SELECT sim, count(*)::BIGINT AS strands, sum(same::INT)::BIGINT AS intact, sum(len(stored))::BIGINT AS bytes, sum(len(list_filter(range(1, len(stored) + 1), lambda k: got[k] <> stored[k])))::BIGINT AS wrong FROM b GROUP BY sim")
 def monte_carlo(spark, sf):
-    sims = strands(spark, sf).select("id", "dna", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])).alias("sim"))
-    noisy = sims.withColumn("noisy", N.mutate(F.col("dna"), LIMIT, 10, F.col("id") * 100 + F.col("sim")))
-    return noisy.groupBy("sim").agg(F.count(F.lit(1)).alias("strands"), F.count_if(F.col("dna") == F.col("noisy")).alias("intact"))
+    """Encode once; for each simulation channel, decode and compare byte by byte."""
+    coded = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.utf8_bytes(F.col("p_name")).alias("cw"))
+    coded = coded.select("id", "cw", C.base4_encode(F.col("cw")).alias("dna"))
+    sims = N.simulations(coded, 3).withColumn("noisy", N.substitute_only(F.col("dna"), threshold(0.003), 11, F.col("id") * 100 + F.col("sim")))
+    back = sims.select("sim", "cw", (F.col("dna") == F.col("noisy")).alias("same"), C.base4_decode(F.col("noisy")).alias("got"))
+    wrong = F.size(F.filter(F.arrays_zip("cw", "got"), lambda p: ~p["cw"].eqNullSafe(p["got"])))
+    return back.groupBy("sim").agg(F.count(F.lit(1)).alias("strands"), F.count_if("same").alias("intact"), big(F.sum(F.size("cw")), "bytes"), big(F.sum(wrong), "wrong"))
\ No newline at end of file

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import convert as C
@@ -76,10 +77,10 @@ def crc8_check(spark, sf):
     return plain.select("id", F.when(~F.exists("cw", lambda x: x.isNull()), C.bytes_to_text(F.col("cw"))).alias("txt"))
 
 
-@add("crc8_index", "SELECT p_partkey AS id, p_name AS txt FROM part")
+@add("crc8_index", f"WITH p AS (SELECT id, b, list_reduce(list_prepend(0, b[1:3]), lambda a, x: ({CRC_TABLE})[xor(a, x) + 1]) AS crc FROM ({PART_BYTES})) SELECT p_partkey AS id, p_name AS txt, array_to_string(b[1:3] || [crc] || b[4:], ',') AS coded FROM part JOIN p ON p.id = p_partkey")
 def crc8_index(spark, sf):
     coded = codewords(spark, sf).select("id", K.crc8_index_insert(F.col("cw"), 3).alias("cw"))
-    return coded.select("id", C.bytes_to_text(K.crc8_index_verify(F.col("cw"), 3)).alias("txt"))
+    return coded.select("id", C.bytes_to_text(K.crc8_index_verify(F.col("cw"), 3)).alias("txt"), F.array_join(F.col("cw").cast("array<string>"), ",").alias("coded"))
 
 
 @add("randomize", "SELECT p_partkey AS id, p_name AS txt FROM part")
@@ -93,12 +94,12 @@ def gf_tables(spark, sf):
     return spark.range(255).select(F.col("id").alias("power"), big(F.element_at(gf._lit(exp[:255]), F.col("id").cast("int") + 1), "value"))
 
 
-@add("gf_ops", "SELECT n_nationkey AS a, s_suppkey AS b, xor(n_nationkey::BIGINT, s_suppkey % 256) AS total, n_nationkey::BIGINT AS quotient_back, (s_suppkey % 256 > 0)::BIGINT AS unit FROM nation, supplier WHERE s_suppkey % 256 > 0")
+@add("gf_ops", "SELECT s_suppkey AS id, xor(s_nationkey::BIGINT, s_suppkey % 256) AS total, s_nationkey::BIGINT AS quotient_back, (s_suppkey % 256 > 0)::BIGINT AS unit FROM supplier WHERE s_suppkey % 256 > 0")
 def gf_ops(spark, sf):
-    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier").where(F.col("s_suppkey") % 256 > 0)
-    a, b = F.col("n_nationkey"), (F.col("s_suppkey") % 256).cast("int")
-    return n.join(F.broadcast(s), F.lit(True)).select(
-        a.alias("a"), F.col("s_suppkey").alias("b"), big(a.bitwiseXOR(b), "total"), big(gf.col_div(gf.col_mul(a, b), b), "quotient_back"), big(gf.col_mul(gf.col_pow(b, 3), gf.col_inverse(gf.col_mul(b, gf.col_mul(b, b)))), "unit")
+    s = table(spark, sf, "supplier").where(F.col("s_suppkey") % 256 > 0)
+    a, b = F.col("s_nationkey"), (F.col("s_suppkey") % 256).cast("int")
+    return s.select(
+        F.col("s_suppkey").alias("id"), big(a.bitwiseXOR(b), "total"), big(gf.col_div(gf.col_mul(a, b), b), "quotient_back"), big(gf.col_mul(gf.col_pow(b, 3), gf.col_inverse(gf.col_mul(b, gf.col_mul(b, b)))), "unit")
     )
 
 
@@ -115,21 +116,42 @@ def rs_generator(spark, sf):
     return rows.select("nsym", big(F.element_at("g", 1), "lead"), big(F.size("g"), "terms"), big(worst, "at_roots"))
 
 
-def payload(spark, sf, n=24):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.utf8_bytes(F.rpad("p_name", n, " ")).alias("cw"))
+#: Part names filled up to 24 letters; longer ones stay whole.
+PADDED = "p_name || repeat(' ', greatest(0, 24 - length(p_name))::INT)"
 
 
-@add("rs_inner_encode", "SELECT p_partkey AS id, 34::BIGINT AS n, 0::BIGINT AS worst FROM part")
+def payload(spark, sf):
+    padded = F.concat("p_name", F.repeat(F.lit(" "), F.greatest(F.lit(24) - F.length("p_name"), F.lit(0))))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.utf8_bytes(padded).alias("cw"))
+
+
+_EXP, _LOG = (str(t.tolist()) for t in gf.tables(8))
+
+
+def _sql_parity(nsym: int) -> str:
+    """Shift registers, a symbol a step: the parity of each row of payloads."""
+    g = str(list(gf.generator(nsym)[1:]))
+    step = f"list_transform(range(1, {nsym + 1}), lambda j: xor(coalesce(s[j + 1], 0), CASE WHEN xor(s[1], b[k + 1]) = 0 THEN 0 ELSE ({_EXP})[({_LOG})[xor(s[1], b[k + 1]) + 1] + ({_LOG})[({g})[j] + 1] + 1] END)::INT)"
+    start = str([0] * nsym)
+    return f"WITH RECURSIVE w AS (SELECT p_partkey AS id, {sql_bytes(f'hex(encode({PADDED}))')} AS b FROM part), r(id, k, b, s) AS (SELECT id, 0, b, {start}::INT[] FROM w UNION ALL SELECT id, k + 1, b, {step} FROM r WHERE k < len(b))"
+
+
+def _sql_value(power: int) -> str:
+    """The value of a code word c at a power of the field's generator."""
+    row = str(gf.mul(np.arange(256), int(gf.tables(8)[0][power])).tolist())
+    return f"list_reduce(list_prepend(0, c), lambda a, x: xor(({row})[a + 1], x))"
+
+
+@add("rs_inner_encode", f"{_sql_parity(10)} SELECT id, array_to_string(b || s, ',') AS coded FROM r WHERE k = len(b)")
 def rs_inner_encode(spark, sf):
-    coded = K.rs_encode(payload(spark, sf), "cw", 10)
-    return coded.select("id", big(F.size("cw"), "n"), big(F.array_max(gf.col_syndromes(F.col("cw"), 10)), "worst"))
+    return K.rs_encode(payload(spark, sf), "cw", 10).select("id", F.array_join(F.col("cw").cast("array<string>"), ",").alias("coded"))
 
 
-@add("rs_syndrome", "SELECT p_partkey AS id, TRUE AS seen FROM part")
+@add("rs_syndrome", f"{_sql_parity(6)}, c AS (SELECT id, list_transform(range(0, len(b) + 6), lambda i: xor((b || s)[i + 1], (i = id % 30)::INT)) AS c FROM r WHERE k = len(b)) SELECT id, concat_ws(',', {', '.join(_sql_value(i) for i in range(6))}) AS syndromes FROM c")
 def rs_syndrome(spark, sf):
     coded = K.rs_encode(payload(spark, sf), "cw", 6)
     worn = F.transform("cw", lambda x, i: F.when(i == F.col("id") % 30, x.bitwiseXOR(F.lit(1))).otherwise(x))
-    return coded.select("id", (F.array_max(gf.col_syndromes(worn, 6)) > 0).alias("seen"))
+    return coded.select("id", F.array_join(gf.col_syndromes(worn, 6).cast("array<string>"), ",").alias("syndromes"))
 
 
 @add("rs_check", "SELECT p_partkey AS id, p_partkey % 2 = 0 AS ok FROM part")
@@ -139,7 +161,7 @@ def rs_check(spark, sf):
     return coded.select("id", (F.array_max(gf.col_syndromes(worn, 6)) == 0).alias("ok"))
 
 
-@add("rs_inner_decode", "SELECT p_partkey AS id, rpad(p_name, 24, ' ') AS txt FROM part")
+@add("rs_inner_decode", f"SELECT p_partkey AS id, {PADDED} AS txt FROM part")
 def rs_inner_decode(spark, sf):
     coded = K.rs_encode(payload(spark, sf), "cw", 10)
     # four erasures and three errors: 4 + 2 * 3 symbols of parity
@@ -210,21 +232,22 @@ def fill_gaps(spark, sf):
     return O.fill_gaps(keys, arrived, LAYOUT, KEY).groupBy("file_id").agg(F.count(F.lit(1)).alias("places"), big(F.count_if(F.col("data").isNull()), "lost"))
 
 
-@add("outer_decode", f"WITH f AS ({FILE_SQL}) SELECT sum((n_bytes + 599) // 600)::BIGINT * 40 AS strands, sum((n_bytes + 599) // 600)::BIGINT * 40 AS sound FROM f")
+@add("outer_decode", f"WITH f AS ({FILE_SQL}), p AS (SELECT file_id, hex(content) AS h, unnest(range(0, (n_bytes + 599) // 600)) AS packet_id FROM f), q AS (SELECT file_id, packet_id, rpad(substr(h, (1200 * packet_id + 1)::INT, 1200), 1200, '0') AS h, unnest(range(0, 40)) AS strand FROM p) SELECT file_id, packet_id, strand, substr(h, (30 * strand + 1)::INT, 30) AS data FROM q")
 def outer_decode(spark, sf):
+    """Three or four of fourteen sub-packets are lost; the data strands come back from the others."""
     coded = O.add_parity(placed(spark, sf), LAYOUT, KEY)
     keys = P.packetize(files(spark, sf), LAYOUT.packet_bytes).select(*KEY)
     fixed = O.correct(O.fill_gaps(keys, coded.where(F.col("sub") % 4 != 1), LAYOUT, KEY), LAYOUT, KEY)
-    return fixed.agg(F.count(F.lit(1)).alias("strands"), F.count_if("ok").alias("sound"))
+    return fixed.select("file_id", big(F.col("packet_id"), "packet_id"), big(F.col("sub") * LAYOUT.slots + F.col("slot"), "strand"), F.hex("data").alias("data"))
 
 
-CODE = Hedges(0.5, seq_bytes=2, message_bytes=12)
+CODE = Hedges(0.5, seq_bytes=2, message_bytes=20)
 
 
 def named(spark, sf):
-    """Supplier numbers (two bytes) and the first twelve bytes of names as codewords."""
+    """Supplier numbers (two bytes) and names, filled up to twenty letters, as codewords."""
     key = C.int_to_bytes(F.col("s_suppkey"), 2)
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(key, C.utf8_bytes(F.rpad(F.substring("s_name", -12, 12), 12, " "))).alias("cw"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(key, C.utf8_bytes(F.rpad("s_name", 20, " "))).alias("cw"))
 
 
 @add("hedges_encode", f"SELECT s_suppkey AS id, {CODE.length}::BIGINT AS n, FALSE AS runs FROM supplier")
@@ -232,24 +255,24 @@ def hedges_encode(spark, sf):
     return K.hedges_encode(named(spark, sf), "cw", "dna", CODE).select("id", big(F.length("dna"), "n"), has_run(F.col("dna"), 4).alias("runs"))
 
 
-@add("hedges_decode", "SELECT s_suppkey AS id, rpad(right(s_name, 12), 12, ' ') AS txt FROM supplier")
+@add("hedges_decode", "SELECT s_suppkey AS id, rpad(s_name, 20, ' ') AS txt FROM supplier")
 def hedges_decode(spark, sf):
     coded = K.hedges_encode(named(spark, sf), "cw", "dna", CODE)
     at = F.lit(20) + F.col("id") % 40
     worn = F.concat(F.substr("dna", F.lit(1), at), F.translate(F.substr("dna", at + 1, F.lit(1)), "ACGT", "CGTA"), F.substr("dna", at + 2, F.length("dna")))
-    return K.hedges_decode(coded.select("id", worn.alias("dna")), "dna", "out", CODE).select("id", C.bytes_to_text(F.slice("out", 3, 12)).alias("txt"))
+    return K.hedges_decode(coded.select("id", worn.alias("dna")), "dna", "out", CODE).select("id", C.bytes_to_text(F.slice("out", 3, 20)).alias("txt"))
 
 
 @add("hedges_orient", "SELECT s_suppkey AS id, TRUE AS same FROM supplier")
 def hedges_orient(spark, sf):
     coded = K.hedges_encode(named(spark, sf), "cw", "dna", CODE)
     turned = coded.select("id", "dna", F.when(F.col("id") % 2 == 0, reverse_complement(F.col("dna"))).otherwise(F.col("dna")).alias("seen"))
-    return K.hedges_orient(turned, "seen", "right", CODE, 60, 200).select("id", (F.col("right") == F.col("dna")).alias("same"))
+    return K.hedges_orient(turned, "seen", "right", CODE).select("id", (F.col("right") == F.col("dna")).alias("same"))
 
 
 @add("hedges_rate_pick", "SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN '3/4' WHEN 1 THEN '1/2' ELSE '1/4' END AS rate FROM supplier")
 def hedges_rate_pick(spark, sf):
-    codes = {n: Hedges(r, seq_bytes=2, message_bytes=12) for n, r in (("3/4", 0.75), ("1/2", 0.5), ("1/4", 0.25))}
+    codes = {n: Hedges(r, seq_bytes=2, message_bytes=20) for n, r in (("3/4", 0.75), ("1/2", 0.5), ("1/4", 0.25))}
     cw = named(spark, sf)
     for i, (name, code) in enumerate(codes.items()):
         cw = K.hedges_encode(cw, "cw", f"d{i}", code)

@@ -31,10 +31,11 @@ def last_vote(spark, sf):
     return A.last_vote(lines(spark, sf), "l_orderkey", F.struct("l_linenumber", "l_partkey"), "l_partkey")
 
 
-@add("column_consensus", f"WITH {STRANDS}, m AS (SELECT id // 5 AS cluster, rpad(substr(dna, 1, 24), 24, '-') AS a FROM strands), p AS (SELECT cluster, pos, substr(a, (pos + 1)::INT, 1) AS b FROM (SELECT cluster, a, unnest(range(0, 24)) AS pos FROM m)), c AS (SELECT cluster, pos, b, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT cluster, pos, b FROM c QUALIFY row_number() OVER (PARTITION BY cluster, pos ORDER BY n DESC, instr('ACGT-', b)) = 1) SELECT cluster, replace(string_agg(b, '' ORDER BY pos), '-', '') AS consensus FROM w GROUP BY cluster")
+@add("column_consensus", f"WITH {STRANDS}, l AS (SELECT id // 5 AS cluster, dna, max(length(dna)) OVER (PARTITION BY id // 5) AS n FROM strands), m AS (SELECT cluster, rpad(dna, n::INT, '-') AS a, n FROM l), p AS (SELECT cluster, pos, substr(a, (pos + 1)::INT, 1) AS b FROM (SELECT cluster, a, unnest(range(0, n)) AS pos FROM m)), c AS (SELECT cluster, pos, b, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT cluster, pos, b FROM c QUALIFY row_number() OVER (PARTITION BY cluster, pos ORDER BY n DESC, instr('ACGT-', b)) = 1) SELECT cluster, replace(string_agg(b, '' ORDER BY pos), '-', '') AS consensus FROM w GROUP BY cluster")
 def column_consensus(spark, sf):
-    members = strands(spark, sf).select(F.floor(F.col("id") / 5).cast("bigint").alias("cluster"), F.rpad(F.substring("dna", 1, 24), 24, "-").alias("a"))
-    return A.column_consensus(members, "cluster", "a")
+    members = strands(spark, sf).select(F.floor(F.col("id") / 5).cast("bigint").alias("cluster"), "dna")
+    longest = members.groupBy("cluster").agg(F.max(F.length("dna")).alias("n"))
+    return A.column_consensus(members.join(longest, "cluster").select("cluster", F.rpad("dna", F.col("n"), F.lit("-")).alias("a")), "cluster", "a")
 
 
 @add("cluster_purity", "WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, sum(n)::BIGINT AS size, round((max(n) / sum(n))::DOUBLE, 9) AS purity FROM c GROUP BY l_suppkey")
@@ -115,12 +116,6 @@ def del_bursts(spark, sf):
     return A.islands(rows, ["event_type", "lane"], "event_id")
 
 
-@add("codeword_error_probe", f"WITH {STRANDS}, q AS (SELECT id, dna, reverse(dna) AS got, unnest(range(0, length(dna))) AS pos FROM strands) SELECT pos, sum((substr(dna, (pos + 1)::INT, 1) <> substr(got, (pos + 1)::INT, 1))::INT)::BIGINT AS wrong, count(*)::BIGINT AS total FROM q GROUP BY pos")
-def codeword_error_probe(spark, sf):
-    q = strands(spark, sf).select("dna", F.explode(C.indexes(F.length("dna"))).alias("pos"))
-    return q.groupBy(big(F.col("pos"), "pos")).agg(F.count_if(at(F.col("dna"), F.col("pos")) != at(F.reverse("dna"), F.col("pos"))).alias("wrong"), F.count(F.lit(1)).alias("total"))
-
-
 @add("filtered_count", "SELECT count(*)::BIGINT AS total, sum((event_type = 'error')::INT)::BIGINT AS filtered FROM events")
 def filtered_count(spark, sf):
     return table(spark, sf, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("filtered"))
@@ -139,8 +134,6 @@ def strand_check(spark, sf):
     return best.agg(big(F.min("d"), "distance"), F.min_by("id", F.struct("d", "id")).alias("id"))
 
 
-
-
 @add("stats_counter", "SELECT event_type AS name, sum(value)::BIGINT AS total, count(*)::BIGINT AS n FROM (SELECT event_type, 2 AS value FROM events) GROUP BY event_type")
 def stats_counter(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(big(F.sum(F.lit(2)), "total"), F.count(F.lit(1)).alias("n"))
@@ -188,10 +181,15 @@ def depth_sweep(spark, sf):
     return rows.select("n_nationkey", big(F.col("d"), "depth"), F.round(1 - F.pow(1 - 0.02 * (F.col("n_nationkey") + 1), F.col("d")), 9).alias("p"))
 
 
-@add("outer_code_search")
+_TERMS = "t(d, k, term) AS (SELECT d, 0, 255 * ln(1 - p) FROM designs UNION ALL SELECT t.d, k + 1, term + ln((255 - k) / (k + 1)) + ln(p / (1 - p)) FROM t JOIN designs USING (d) WHERE k < 254), m AS (SELECT d, p, s, a.parity, (SELECT sum(exp(term)) FROM t WHERE t.d = g.d AND k < 255 - a.parity) AS miss, ceil(1e6 / ((255 - a.parity) * s)) AS blocks FROM designs g, range(0, 255) a(parity))"
+#: The least parity by summing binomial terms in a loop, for designs (d, p, s).
+_SEARCH = f"{_TERMS}, f AS (SELECT p, s, min(parity)::INT AS parity FROM m WHERE 1 / greatest(1 - power(1 - miss, blocks), 1e-300) >= 1e6 AND miss < 1e-6 GROUP BY p, s)"
+
+
+@add("outer_code_search", f"WITH RECURSIVE designs AS (SELECT n_nationkey AS d, 0.5 + n_nationkey / 51.0::DOUBLE AS p, n_nationkey + 30 AS s FROM nation), {_SEARCH} SELECT round(p, 9) AS p, s AS strand_bytes, parity FROM f")
 def outer_code_search(spark, sf):
     designs = table(spark, sf, "nation").select((0.5 + F.col("n_nationkey") / 51).alias("p"), (F.col("n_nationkey") + 30).alias("strand_bytes")).distinct()
-    return A.outer_code_search(designs)
+    return A.outer_code_search(designs).select(F.round("p", 9).alias("p"), "strand_bytes", "parity")
 
 
 @add("pareto_frontier", "WITH b AS (SELECT p_size AS y, max(p_retailprice) AS x FROM part GROUP BY p_size), w AS (SELECT x, y, max(x) OVER (ORDER BY y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM b) SELECT x, y::BIGINT AS y FROM w WHERE above IS NULL OR x > above")
@@ -200,10 +198,9 @@ def pareto_frontier(spark, sf):
     return A.pareto_frontier(points, "x", "y", "label").select("x", "y")
 
 
-@add("blank_to_null", "SELECT doc_id, nullif(trim(substr(text, 1, doc_id % 3)), '') AS t FROM documents")
+@add("blank_to_null", "SELECT doc_id, CASE WHEN NOT regexp_full_match(text, '[ \\t\\n\\r\\f]*') THEN text END AS t FROM documents")
 def blank_to_null(spark, sf):
-    head = F.substr("text", F.lit(1), (F.col("doc_id") % 3).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", F.nullif(F.trim(head), F.lit("")).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.when(~F.col("text").rlike(r"^[ \t\n\r\f]*$"), F.col("text")).alias("t"))
 
 
 @add("arch_summary", "SELECT p_brand, count(*)::BIGINT AS n, min(p_size)::BIGINT AS low, max(p_size)::BIGINT AS high, sum(p_size)::BIGINT AS total FROM part GROUP BY p_brand")
@@ -243,21 +240,21 @@ def job_matrix(spark, sf):
     return n.crossJoin(F.broadcast(r)).select("r_name", "n_name", F.substring(F.md5(F.concat_ws(":", "n_name", "r_name")), 1, 8).alias("run_dir"))
 
 
-@add("byte_diff", "SELECT p_partkey AS id, 1::BIGINT AS mismatches, 2::BIGINT AS length_gap FROM part")
+@add("byte_diff", "SELECT p_partkey AS id, (length(p_name) - length(translate(p_name, 'aeo', '')))::BIGINT AS mismatches, (p_partkey % 3)::BIGINT AS length_gap FROM part")
 def byte_diff(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t"))
     a = part.select("id", F.encode("t", "UTF-8").alias("data"))
-    b = part.select("id", F.encode(F.concat(F.lit("~"), F.substr("t", F.lit(2), F.length("t")), F.lit("ab")), "UTF-8").alias("data"))
+    b = part.select("id", F.encode(F.concat(F.translate("t", "aeo", "XYZ"), F.repeat(F.lit("~"), (F.col("id") % 3).cast("int"))), "UTF-8").alias("data"))
     return A.byte_diff(a, b, "id")
 
 
-@add("unindexed_lengths", "SELECT round(avg(length(p_name)), 9) AS mean, round(stddev_pop(length(p_name)), 9) AS deviation FROM part WHERE p_size > 25")
+@add("unindexed_lengths", "SELECT round(avg(length(p_name)), 9) AS mean, round(stddev_pop(length(p_name)), 9) AS deviation FROM part")
 def unindexed_lengths(spark, sf):
     n = F.length("p_name")
-    return table(spark, sf, "part").where("p_size > 25").agg(F.round(F.avg(n), 9).alias("mean"), F.round(F.stddev_pop(n), 9).alias("deviation"))
+    return table(spark, sf, "part").agg(F.round(F.avg(n), 9).alias("mean"), F.round(F.stddev_pop(n), 9).alias("deviation"))
 
 
-@add("json_prefix", "SELECT event_id, 'run::n' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@add("json_prefix", "SELECT event_id, 'run::' || k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_prefix(spark, sf):
-    m = F.transform_keys(F.from_json("props", "map<string,string>"), lambda k, v: F.when(k == "k", F.lit("run::n")).otherwise(F.concat(F.lit("run::"), k)))
-    return table(spark, sf, "events").select("event_id", F.explode(m).alias("key", "value")).where(F.col("key") == "run::n")
+    m = F.transform_keys(F.from_json("props", "map<string,string>"), lambda k, v: F.concat(F.lit("run::"), k))
+    return table(spark, sf, "events").select("event_id", F.explode(m).alias("key", "value"))
\ No newline at end of file

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import convert as C
 from ..functions import strand as S
+from ..functions.rng import sql_u32, u32
 from .base import STRANDS, Family, big, sql_bytes, strands, table
 
 family = Family()
@@ -74,12 +75,18 @@ def index_unpack(spark, sf):
 PRIMER = "GTCTCGTGGGCTCGG"
 
 
-@add("excl_encode", "SELECT s_suppkey AS id, 0::BIGINT AS clashes, 10::BIGINT AS n, 0::BIGINT AS guanines FROM supplier")
+def _sql_exclusion(value: str, length: int, alphabet: str = "ACT") -> str:
+    parts, weight = [], 1
+    for k in range(length):
+        allowed = "".join(b for b in alphabet if k >= len(PRIMER) or b != PRIMER[k])
+        parts.append(f"substr('{allowed}', ({value} // {weight} % {len(allowed)})::INT + 1, 1)")
+        weight *= len(allowed)
+    return " || ".join(parts)
+
+
+@add("excl_encode", f"SELECT s_suppkey AS id, {_sql_exclusion('(s_suppkey % 243)', 10)} AS code FROM supplier")
 def excl_encode(spark, sf):
-    code = C.exclusion_encode(F.col("s_suppkey") % 243, 10, PRIMER)
-    same = F.size(F.filter(C.indexes(10), lambda i: S.at(F.col("code"), i) == S.at(F.lit(PRIMER), i)))
-    guanines = F.length("code") - F.length(F.translate("code", "G", ""))
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), code.alias("code")).select("id", big(same, "clashes"), big(F.length("code"), "n"), big(guanines, "guanines"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), C.exclusion_encode(F.col("s_suppkey") % 243, 10, PRIMER).alias("code"))
 
 
 @add("excl_decode", "SELECT s_suppkey AS id, s_suppkey % 243 AS value FROM supplier")
@@ -95,10 +102,17 @@ def binary_encode(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.binary_encode(C.utf8_bytes(F.col("p_name"))).alias("code"))
 
 
-@add("rotate_encode", "SELECT p_partkey AS id, FALSE AS runs FROM part")
+def _sql_more(b: str, other: str) -> str:
+    return f"length(a) - length(replace(a, '{b}', '')) > length(a) - length(replace(a, '{other}', ''))"
+
+
+_AHEAD = "CASE b " + " ".join(f"WHEN '{b}' THEN {_sql_more(b, o)}" for b, o in zip("ACGT", "TGCA")) + " END"
+
+
+@add("rotate_encode", f"SELECT id, list_reduce(list_prepend('', str_split(code, '')), lambda a, b: a || CASE WHEN {_AHEAD} OR b = CASE WHEN a = '' THEN 'A' ELSE right(a, 1) END THEN translate(b, 'ACGT', 'TGCA') ELSE b END) AS code FROM ({BINARY})")
 def rotate_encode(spark, sf):
     code = C.rotate_encode(C.binary_encode(C.utf8_bytes(F.col("p_name"))))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), S.has_run(code, 4).alias("runs"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), code.alias("code"))
 
 
 @add("rotate_decode", BINARY)
@@ -151,9 +165,9 @@ def _sql_overlap(a: str, b: str) -> str:
 OTHER = S.EARLIER_PRIMERS[0]
 
 
-@add("overlap", f"WITH {STRANDS}, p AS (SELECT id, substr(dna, 1, 40) AS a, '{OTHER}' AS b FROM strands) SELECT id, {_sql_overlap('a', 'b')} AS ahead, greatest({_sql_overlap('a', 'b')}, {_sql_overlap('b', 'a')}) AS distance FROM p")
+@add("overlap", f"WITH {STRANDS}, p AS (SELECT id, dna AS a, '{OTHER}' AS b FROM strands) SELECT id, {_sql_overlap('a', 'b')} AS ahead, greatest({_sql_overlap('a', 'b')}, {_sql_overlap('b', 'a')}) AS distance FROM p")
 def overlap(spark, sf):
-    a, b = F.substring("dna", 1, 40), F.lit(OTHER)
+    a, b = F.col("dna"), F.lit(OTHER)
     return strands(spark, sf).select("id", big(S.suffix_overlap(a, b), "ahead"), big(S.overlap_distance(a, b), "distance"))
 
 
@@ -215,17 +229,17 @@ def melting_temp(spark, sf):
 P5, P3, SITE = "TAAAGGAAAAAGCCTTCGAT", "CAAAATATAAAACGTTACCG", "AGATATAGGG"
 
 
-@add("primer_strip5", f"WITH {STRANDS} SELECT id, dna FROM strands WHERE NOT contains(dna, '{P5}')")
+@add("primer_strip5", f"WITH {STRANDS} SELECT id, CASE WHEN contains(dna, '{P5}') THEN substr(dna, instr(dna, '{P5}') + 20) ELSE dna END AS dna FROM strands")
 def primer_strip5(spark, sf):
-    # one base of the primer is wrong, so the nearest window decides
+    # one base of the primer is wrong, so the nearest window decides; a strand that holds the primer itself is cut there
     worn = F.concat(F.lit("G" + P5[:7] + "T" + P5[8:]), F.col("dna"))
-    return strands(spark, sf).where(F.instr("dna", P5) == 0).select("id", S.strip_front(worn, P5).alias("dna"))
+    return strands(spark, sf).select("id", S.strip_front(worn, P5).alias("dna"))
 
 
-@add("primer_strip3", f"WITH {STRANDS} SELECT id, dna FROM strands WHERE NOT contains(dna, '{P3}')")
+@add("primer_strip3", f"WITH {STRANDS}, r AS (SELECT id, dna, instr(reverse(dna), '{P3[::-1]}') AS i FROM strands) SELECT id, CASE WHEN i > 0 THEN reverse(substr(reverse(dna), i + 20)) ELSE dna END AS dna FROM r")
 def primer_strip3(spark, sf):
     worn = F.concat(F.col("dna"), F.lit(P3[:9] + "C" + P3[10:]))
-    return strands(spark, sf).where(F.instr("dna", P3) == 0).select("id", S.strip_back(worn, P3).alias("dna"))
+    return strands(spark, sf).select("id", S.strip_back(worn, P3).alias("dna"))
 
 
 @add("primer_filter", f"WITH {STRANDS} SELECT count(*)::BIGINT AS total, sum((id % 3 > 0)::INT)::BIGINT AS kept, sum((id % 3 = 0)::INT)::BIGINT AS filtered FROM strands")
@@ -245,18 +259,18 @@ def length_filter(spark, sf):
     return strands(spark, sf).select("id", big(F.length("dna"), "n")).where(F.col("n").between(60, 100))
 
 
-@add("cut_site", f"WITH {STRANDS} SELECT id, dna FROM strands WHERE NOT contains(dna, '{SITE}')")
+@add("cut_site", f"WITH {STRANDS}, m AS (SELECT id, substr(dna, 1, length(dna) // 2) || '{SITE}' || substr(dna, length(dna) // 2 + 1) AS dna FROM strands) SELECT id, substr(dna, 1, instr(dna, '{SITE}') - 1) || substr(dna, instr(dna, '{SITE}') + 10) AS dna FROM m")
 def cut_site(spark, sf):
-    return strands(spark, sf).where(F.instr("dna", SITE) == 0).select("id", S.remove_middle(S.insert_middle(F.col("dna"), SITE), SITE).alias("dna"))
+    return strands(spark, sf).select("id", S.remove_middle(S.insert_middle(F.col("dna"), SITE), SITE).alias("dna"))
 
 
-@add("normalize_len", f"WITH {STRANDS} SELECT id, 200::BIGINT AS n, TRUE AS starts FROM strands WHERE length(dna) <= 200")
-def normalize_len(spark, sf):
-    from ..functions.rng import u32
+_PAD = sql_u32(7, "pad", "id", "i")
 
+
+@add("normalize_len", f"WITH {STRANDS} SELECT id, CASE WHEN length(dna) <= 200 THEN dna || array_to_string(list_transform(range(0, 200 - length(dna)), lambda i: substr('ACGT', ({_PAD} % 4)::INT + 1, 1)), '') END AS dna FROM strands")
+def normalize_len(spark, sf):
     fill = F.concat_ws("", F.transform(C.indexes(F.lit(200) - F.length("dna")), lambda i: F.substr(F.lit("ACGT"), (u32(7, "pad", F.col("id"), i) % 4).cast("int") + 1, F.lit(1))))
-    full = F.concat("dna", fill)
-    return strands(spark, sf).where(F.length("dna") <= 200).select("id", big(F.length(full), "n"), full.startswith(F.col("dna")).alias("starts"))
+    return strands(spark, sf).select("id", F.when(F.length("dna") <= 200, F.concat("dna", fill)).alias("dna"))
 
 
 @add("fuzzy_find", f"WITH {STRANDS}, w AS (SELECT id, list_transform(range(0, length(dna) - 9), lambda i: levenshtein(substr(dna, (i + 1)::INT, 10), '{SITE}')) AS d FROM strands) SELECT id, list_min(d)::BIGINT AS distance, (list_position(d, list_min(d)) - 1)::BIGINT AS place FROM w")
@@ -268,7 +282,7 @@ def fuzzy_find(spark, sf):
 T7 = "TAATACGACTCACTATAG"
 
 
-@add("t7_transcribe", f"WITH {STRANDS} SELECT id, dna AS rna FROM strands WHERE NOT contains(dna, '{T7}')")
+@add("t7_transcribe", f"WITH {STRANDS}, t AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'ACGTA{T7}' || dna ELSE dna END AS dna FROM strands) SELECT id, CASE WHEN contains(dna, '{T7}') THEN substr(dna, instr(dna, '{T7}') + {len(T7)}) ELSE dna END AS rna FROM t")
 def t7_transcribe(spark, sf):
     tagged = F.when(F.col("id") % 2 == 0, F.concat(F.lit("ACGTA" + T7), F.col("dna"))).otherwise(F.col("dna"))
-    return strands(spark, sf).where(F.instr("dna", T7) == 0).select("id", S.transcribe_t7(tagged).alias("rna"))
+    return strands(spark, sf).select("id", S.transcribe_t7(tagged).alias("rna"))
\ No newline at end of file
