@@ -14,6 +14,7 @@ shuffled and no key can be hot.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -83,14 +84,43 @@ def balanced_windows(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
         k += 1
 
 
+#: What a vocabulary file says of normalization and pre-tokens if its words can be looked up one by one.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _word_by_word(path: str) -> bool:
+    """Whether a file lower-cases and cuts words as ``Encoder`` does when it keeps their ids."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = (told.get("normalizer") or {}).get("normalizers") or []
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    blank = [x for x in steps if x["type"] == "Replace"]
+    return (
+        tuple(x["type"] for x in steps) == NORMALIZERS
+        and (blank[0]["pattern"], blank[0]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": SPLIT}
+        and (cuts[0]["behavior"], cuts[0]["invert"], cuts[1]["add_prefix_space"], cuts[1]["use_regex"]) == ("Removed", True, False, False)
+        and told.get("post_processor") is None
+    )
+
+
 class Encoder:
-    """Ids of a vocabulary file of the ``tokenizers`` library that never joins words across white space."""
+    """Ids of a vocabulary file of the ``tokenizers`` library.
+
+    Where the file lower-cases and never joins words across white space, words are
+    looked up one by one and kept; any other file is left to the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.model = self.tok.model
+        self.by_words = _word_by_word(path)
         self.chunks: dict[str, bytes] = _Words(self._chunk)
         self.words: dict[str, bytes] = _Words(self._word)
 
@@ -112,6 +142,8 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, special strings as the library takes them by default."""
+        if not self.by_words:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -178,7 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end
     Pools are cut to ``pool_windows`` windows of ``capacity - slack`` tokens, so
     that differencing has room to fill them; a partition's last pool holds less
     and costs at most a window.  Sequence ids are unique, not dense.  A null or
-    empty text is the one token ``end_id``; a repeated row is packed each time.
+    empty text is the one token ``end_id``; a null doc_id stays null; a repeated row
+    is packed each time; an empty table gives an empty one.
     """
     require(docs, "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()

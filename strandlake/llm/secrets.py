@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds the keywords of every rule in one pass over a
 text; a regular expression is tried only where a keyword starts, anchored there;
-rules whose tokens carry a checksum keep a hit only if it holds.  Runs of
+rules whose tokens carry a checksum (CRC-32, mod 97, Luhn) keep a hit only if it
+holds.  Runs of
 hexadecimal digits have no keyword; a probe of every 16th byte of the whole
 Arrow buffer tells which texts can hold one at all.
 """
@@ -21,20 +22,24 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, require, text_buffer, texts
 
 # Kinds in the order in which spans at one place are listed, their keywords and patterns.
-KINDS = ("assign", "access", "hex", "forge_token", "registry_token")
+KINDS = ("assign", "access", "hex", "forge_token", "registry_token", "bank_account", "payment_card")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 FORGE = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
 REGISTRY = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
+ACCOUNT = re.compile(r"iban[\"']?[ :=#]{0,3}[\"']?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
+CARD = re.compile(r"(?:credit card|debit card|card number|visa|mastercard|amex)[\"']?(?: no\.?| number)?[ :=#]{0,3}[\"']?([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.IGNORECASE | re.ASCII)
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "api_key", "apikey"),
     "access": ("akia",),
     "forge_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
     "registry_token": ("npm_",),
+    "bank_account": ("iban",),
+    "payment_card": ("credit card", "debit card", "card number", "visa", "mastercard", "amex"),
 }
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-RULES = {"assign": ASSIGN, "access": ACCESS, "forge_token": FORGE, "registry_token": REGISTRY}
+RULES = {"assign": ASSIGN, "access": ACCESS, "forge_token": FORGE, "registry_token": REGISTRY, "bank_account": ACCOUNT, "payment_card": CARD}
 
 _UPPER = dict(zip(range(65, 91), range(97, 123)))
 _IS_HEX = np.zeros(256, bool)
@@ -64,11 +69,26 @@ def checksum62(body: str) -> str:
     return out.rjust(6, "0")
 
 
+def mod97(account: str) -> int:
+    """An account number's remainder by 97: country and check digits last, letters as 10 to 35; 1 if it is right."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def luhn(number: str) -> int:
+    """A card number's digit sum, every second from the right doubled, by 10; 0 if it is right."""
+    digits = [int(c) for c in reversed(number)]
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits)) % 10
+
+
 def _passes(kind: str, m: re.Match) -> bool:
     if kind == "assign":
         return len(m[2]) >= 8
     if kind == "access":
         return m.end() - m.start() >= 16
+    if kind == "bank_account":
+        return mod97(m[1].replace(" ", "").upper()) == 1
+    if kind == "payment_card":
+        return luhn(re.sub("[ -]", "", m[1])) == 0
     return checksum62(m[1]) == m[2]
 
 
@@ -124,7 +144,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     each row: doc_id; n_assign, n_access, n_hex; base_spans (kind:start:end of
     those three kinds, comma-joined), base_sha256 of that; spans (all kinds).
     Offsets are code points, ends exclusive.  A null or empty text has no spans.
-    Repeated rows give repeated results.
+    Repeated rows give repeated results; long texts are scanned whole; an empty
+    table gives an empty one.
     """
     require(docs, "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -158,7 +179,9 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs``, all columns and rows, with the secrets in text replaced; null texts stay null.
 
-    A column n_chars, if there is one, follows the new text.
+    A column n_chars, if there is one, follows the new text; all others stay,
+    whatever their names.  Overlapping spans are one mark; repeated rows are treated
+    alike; an empty table gives an empty one.
     """
     require(docs, "text")
     at = docs.columns.index("text")

@@ -13,6 +13,7 @@ chunks; tables of chunks are kept between rows.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -42,7 +43,14 @@ class PrefixCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        cut = told.get("pre_tokenizer") or {}
+        if told.get("normalizer") or told["model"]["type"] != "BPE" or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"prefix counts need a byte-level vocabulary without normalization; {path} is none")
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.model = self.tok.model
         #: True for a token that its own merges reach, False for what only ends such a token.
         self.endings: dict[str, bool] = {}
@@ -244,8 +252,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, limit: int = 1024, keep_ta
     ``keep_table``, steps: one signed byte a character whose running sum is the
     count at each prefix.  No begin, end or padding tokens are added; special
     strings inside texts are single tokens, as the library has it.  A null text is
-    an empty one: no bytes, no tokens.  Repeated rows give repeated results; an
-    empty table gives an empty one.
+    an empty one: no bytes, no tokens.  Repeated rows give repeated results; long
+    texts and long runs of white space take time in proportion; an empty table gives
+    an empty one.
     """
     require(docs, "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()

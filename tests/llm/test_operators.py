@@ -93,6 +93,16 @@ def test_packing_loses_nothing(docs, empty):
     assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_other_vocabularies_are_left_to_the_library():
+    path = vocabulary("byte_bpe_50k.json")
+    encoder = packing.Encoder(path)
+    text = "Some Words,  and  more\n\nlines  "
+    assert not encoder.by_words and np.frombuffer(encoder.ids(text), np.uint32).tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+    assert packing.Encoder.load(vocabulary("word_bpe_49k.json")).by_words
+    with pytest.raises(ValueError):
+        tokens.PrefixCounter(vocabulary("word_bpe_49k.json"))
+
+
 def test_differencing_gives_near_equal_windows():
     sizes = [R.randint(1, 256) for _ in range(600)]
     parts = packing.kk_partition(sizes, 12)
@@ -337,6 +347,11 @@ def test_secrets_are_those_of_plain_search(docs, empty):
     good = f"x ghp_{body}{secrets.checksum62(body)} y"
     assert secrets.find_secrets(good) == [("forge_token", 2, 42)]
     assert secrets.find_secrets(good.replace("5" + secrets.checksum62(body), "6" + secrets.checksum62(body))) == []
+    for text, kind in (("IBAN: DE89 3704 0044 0532 0130 00.", "bank_account"), ("iban=GB82WEST12345698765432", "bank_account"), ("Visa 4111 1111 1111 1111", "payment_card"), ('card number: "5500-0055-5555-5559"', "payment_card")):
+        assert [x[0] for x in secrets.find_secrets(text)] == [kind], text
+        last = max(i for i, c in enumerate(text) if c.isdigit())
+        wrong = text[:last] + str((int(text[last]) + 1) % 10) + text[last + 1 :]
+        assert secrets.find_secrets(wrong) == [], wrong
     rows = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
     assert (rows[13]["n_assign"], rows[13]["n_access"], rows[13]["n_hex"]) == (1, 1, 1) and rows[1]["spans"] == ""
     redacted = secrets.redact_secrets(docs)
