@@ -132,6 +132,26 @@ def binary_encode(values: Column) -> Column:
     return F.concat_ws("", F.transform(values, lambda b: F.translate(bits_le(b, 8), "01", "AC")))
 
 
+def binary_decode(strand: Column) -> Column:
+    """Bytes of eight letters each, A for 0 and C for 1, least significant bit first."""
+    return F.transform(indexes(F.floor(F.length(strand) / 8)), lambda i: F.conv(F.reverse(F.translate(F.substr(strand, 8 * i + 1, F.lit(8)), "AC", "01")), 2, 10).cast("int"))
+
+
+def keyed_encode(key: Column, values: Column, width: int = 20) -> Column:
+    """A key in ``width`` letters of two kinds, then the bytes."""
+    return F.concat(to_digits(key, 2, width, "AC"), binary_encode(values))
+
+
+def keyed_decode(strand: Column, width: int = 20) -> tuple[Column, Column]:
+    """Key and bytes of ``keyed_encode``."""
+    return from_digits(F.substring(strand, 1, width), 2, "AC"), binary_decode(F.substr(strand, F.lit(width + 1), F.length(strand)))
+
+
+def ternary_filler(n: Column) -> Column:
+    """``n`` letters that run through the first three."""
+    return F.rpad(F.lit("ACG"), n.cast("int"), F.lit("ACG"))
+
+
 def rotate_encode(strand: Column, first: str = "A") -> Column:
     """Complement a base that equals the one before it, or that has come more often than its complement."""
     names = ("A", "C", "G", "T")

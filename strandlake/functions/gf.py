@@ -47,6 +47,51 @@ def poly_eval(poly: np.ndarray, x: int, c_exp: int = 8) -> np.ndarray:
     return out
 
 
+def mul_plain(a: int, b: int, c_exp: int = 8) -> int:
+    """A product without tables: shift and add, reduced by the field's polynomial."""
+    out = 0
+    while b:
+        if b & 1:
+            out ^= a
+        b >>= 1
+        a <<= 1
+        if a >> c_exp:
+            a ^= FIELDS[c_exp]
+    return out
+
+
+def poly_add(p: list[int], q: list[int]) -> list[int]:
+    """Sum (and difference) of polynomials, highest power first."""
+    n = max(len(p), len(q))
+    return [a ^ b for a, b in zip([0] * (n - len(p)) + list(p), [0] * (n - len(q)) + list(q))]
+
+
+def poly_scale(p: list[int], x: int, c_exp: int = 8) -> list[int]:
+    return [int(v) for v in mul(np.array(p), x, c_exp)]
+
+
+def poly_mul(p: list[int], q: list[int], c_exp: int = 8) -> list[int]:
+    """Product of polynomials, in either order of powers."""
+    out = np.zeros(len(p) + len(q) - 1, np.int64)
+    for i, x in enumerate(p):
+        out[i : i + len(q)] ^= mul(np.array(q), x, c_exp)
+    return out.tolist()
+
+
+def poly_div(dividend: list[int], divisor: list[int], c_exp: int = 8) -> tuple[list[int], list[int]]:
+    """Quotient and remainder, highest power first; the divisor's first coefficient is not 0."""
+    rest, steps = np.array(dividend, np.int64), len(dividend) - len(divisor) + 1
+    if steps <= 0:
+        return [0], list(dividend)
+    scale, tail = inverse(divisor[0], c_exp), np.array(divisor)
+    out = []
+    for i in range(steps):
+        c = int(mul(int(rest[i]), scale, c_exp))
+        out.append(c)
+        rest[i : i + len(divisor)] ^= mul(tail, c, c_exp)
+    return out, rest[steps:].tolist()
+
+
 @lru_cache
 def generator(nsym: int, c_exp: int = 8) -> tuple[int, ...]:
     """Product of (x - a^i) for i below ``nsym``, highest power first."""

@@ -78,6 +78,44 @@ def merge_stats(*stores: DataFrame) -> DataFrame:
     return both.groupBy("name", "kind", "pos", "key").agg(F.sum("value").alias("value"))
 
 
+def name_runs(stats: DataFrame, base: str, run: int) -> DataFrame:
+    """Names of a run's own: ``base::run::name``."""
+    return stats.withColumn("name", F.concat_ws("::", F.lit(base), F.lit(str(run)), "name"))
+
+
+def stat_appends(rows: DataFrame, name: str, value: str, order: str) -> DataFrame:
+    """(name, values): the values of each name in their order, where raw values are wanted; a row for each name."""
+    return rows.groupBy(name).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+
+
+def merge_arrays(*stores: DataFrame) -> DataFrame:
+    """(name, values): arrays of counts by name, added place by place; shorter ones count as zero beyond their end."""
+    both = stores[0]
+    for s in stores[1:]:
+        both = both.unionByName(s)
+    added = both.select("name", F.posexplode("values").alias("pos", "v")).groupBy("name", "pos").agg(F.sum("v").alias("v"))
+    return added.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))
+
+
+def keep_first(*stores: DataFrame) -> DataFrame:
+    """(name, value): of names that several stores have, what the first says."""
+    ranked = None
+    for i, s in enumerate(stores):
+        one = s.select("name", "value", F.lit(i).alias("rank"))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    return ranked.groupBy("name").agg(F.min_by("value", "rank").alias("value"))
+
+
+def combined_frontier(families: dict[str, DataFrame], x: str, y: str, label: str) -> DataFrame:
+    """The frontier over several families of designs, with the family each point is of."""
+    both = None
+    for name, points in families.items():
+        one = points.select(x, y, F.concat_ws("/", F.lit(name), F.col(label).cast("string")).alias(label))
+        both = one if both is None else both.unionByName(one)
+    found = pareto_frontier(both.fillna(0, [x, y]), x, y, label)
+    return found.withColumn("family", F.substring_index(label, "/", 1)).orderBy(F.col(y).desc())
+
+
 def rolling_means(df: DataFrame, key: list[str], order: list[str], value: str, window: int) -> DataFrame:
     """Arithmetic, geometric and harmonic mean of each full window that starts at a row."""
     w = W.partitionBy(*key).orderBy(*order).rowsBetween(0, window - 1)
@@ -133,6 +171,19 @@ def sweep(spark, **axes: list) -> DataFrame:
     return out
 
 
+def expand_settings(settings: dict) -> list[dict]:
+    """Every combination of nested settings: a dictionary with ``value_list`` or ``range`` is an axis, a list of dictionaries is merged, all else is itself."""
+    if "value_list" in settings:
+        return [v for v in settings["value_list"]]
+    if "range" in settings:
+        return list(range(*settings["range"]))
+    out: list[dict] = [{}]
+    for key, value in settings.items():
+        options = expand_settings(value) if isinstance(value, dict) else [value]
+        out = [{**one, key: option} for one in out for option in options]
+    return out
+
+
 def byte_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, mismatches, length_gap): bytes that differ up to the shorter end of two binary columns ``data``."""
     both = a.select(key, F.col("data").alias("x")).join(b.select(key, F.col("data").alias("y")), key)

@@ -65,3 +65,81 @@ def test_known_lengths():
     layout = Layout(2780, 47, 60)
     assert (layout.strands, layout.slots) == (60, 1)
     assert Layout(2700, 15, 180, 75).index_bits(1)[1] == 8
+
+
+@given(st.integers(0, 2**32), st.integers(2, 10))
+@settings(max_examples=25, deadline=None)
+def test_two_ways_of_correcting_agree(seed, nsym):
+    r = np.random.default_rng(seed)
+    word = rs.encode(r.integers(0, 256, (1, 12)), nsym)[0]
+    places = r.permutation(12 + nsym)[: int(r.integers(0, nsym + 2))]
+    erased = sorted(places[: int(r.integers(0, len(places) + 1))].tolist())
+    worn = word.copy()
+    worn[places] ^= r.integers(1, 256, len(places))
+    worn[erased] = 0
+    lost = np.zeros((1, 12 + nsym), bool)
+    lost[0, erased] = True
+    plain, ok = rs.decode(worn[None], nsym, lost)
+    other = rs.correct_plainly(worn, nsym, erased)
+    assert (other is not None) == ok[0] and (not ok[0] or (other[:12] == plain[0]).all())
+    assert rs.check(word[None], nsym)[0]
+
+
+def test_the_larger_field():
+    r = np.random.default_rng(4)
+    words = rs.encode(r.integers(0, 1 << 16, (2, 300)), 6, 16)
+    worn = words.copy()
+    worn[:, [5, 200, 304]] ^= 4660
+    plain, ok = rs.decode(worn, 6, None, 16)
+    assert ok.all() and (plain == words[:, :300]).all()
+
+
+def test_polynomials_and_plain_products():
+    r = np.random.default_rng(5)
+    for c_exp in (8, 16):
+        for a, b in r.integers(0, 1 << c_exp, (50, 2)).tolist():
+            assert gf.mul_plain(a, b, c_exp) == int(gf.mul(a, b, c_exp))
+        p, q = r.integers(0, 1 << c_exp, 9).tolist(), [1, *r.integers(0, 1 << c_exp, 4).tolist()]
+        quotient, rest = gf.poly_div(p, q, c_exp)
+        assert gf.poly_add(gf.poly_mul(quotient, q, c_exp), rest) == p
+        assert gf.poly_scale(p, 1, c_exp) == p and gf.poly_div(q, [*p, 1], c_exp)[1] == q
+
+
+def test_hash_code_vector():
+    """Rate 1/4, four bytes of sequence and fifteen of message, four bits of padding, three edits."""
+    from strandlake.functions.hedges import _hash
+
+    code = Hedges(0.25, seq_bytes=4, message_bytes=15, pad_bits=4)
+    seq, message = bytes([100, 102, 103, 106]), bytes(_hash(i) & 255 for i in range(15))
+    strand = list(code.encode(seq, message))
+    strand[1], strand[30], strand[35] = "A", "C", "T"
+    got = code.decode("".join(strand), 100_000)
+    assert bytes(got[0]) == seq and bytes(got[1]) == message and got[3]
+
+
+def test_settings_expand():
+    from strandlake.operators.aggregate import expand_settings
+
+    found = expand_settings({"a": {"value_list": [1, 2]}, "b": {"c": {"range": [0, 3]}, "d": "x"}})
+    assert len(found) == 6 and {"a": 2, "b": {"c": 1, "d": "x"}} in found
+
+
+def test_keyed_strands_and_stores(spark):
+    from pyspark.sql import functions as F
+    from strandlake.functions import convert as C
+    from strandlake.operators import aggregate as A
+
+    rows = spark.createDataFrame([(5, [1, 2, 255]), (1000, [0])], "k long, b array<int>")
+    key, values = C.keyed_decode(F.col("s"))
+    coded = rows.select("k", "b", C.keyed_encode(F.col("k"), F.col("b")).alias("s"))
+    assert all(r["k"] == r["key"] and r["b"] == r["values"] for r in coded.select("k", "b", key.alias("key"), values.alias("values")).collect())
+    assert [r[0] for r in spark.range(5).select(C.ternary_filler(F.col("id"))).collect()] == ["", "A", "AC", "ACG", "ACGA"]
+    a = spark.createDataFrame([("h", [1, 2]), ("g", [5])], "name string, values array<long>")
+    assert {r["name"]: r["values"] for r in A.merge_arrays(a, a, spark.createDataFrame([("h", [0, 0, 7])], "name string, values array<long>")).collect()} == {"h": [2, 4, 7], "g": [10]}
+    s = spark.createDataFrame([("x", 1), ("y", 2)], "name string, value long")
+    t = spark.createDataFrame([("y", 9), ("z", 3)], "name string, value long")
+    assert {r["name"]: r["value"] for r in A.keep_first(s, t).collect()} == {"x": 1, "y": 2, "z": 3}
+    assert {r["name"] for r in A.name_runs(s, "e", 4).collect()} == {"e::4::x", "e::4::y"}
+    assert {r["name"]: r["values"] for r in A.stat_appends(s.unionByName(t).withColumn("o", -F.col("value")), "name", "value", "o").collect()}["y"] == [9, 2]
+    points = {n: spark.createDataFrame(p, "x double, y double, label string") for n, p in (("f", [(1.0, 5.0, "a"), (4.0, 1.0, "b")]), ("g", [(2.0, 4.0, "c"), (3.0, 1.0, "d")]))}
+    assert [(r["family"], r["x"]) for r in A.combined_frontier(points, "x", "y", "label").collect()] == [("f", 1.0), ("g", 2.0), ("f", 4.0)]
