@@ -198,7 +198,7 @@ class Archive:
     def write(self, files: DataFrame) -> None:
         """``files``: file_id (an integer), content and, if wanted, filename."""
         strands = write(files, self.design).select(F.array("file_id").alias("index_ints"), "dna")
-        D.write_strands(strands, self.path, {"format": f"{self.design.format_id:#06x}", "version": "{}.{}".format(*VERSION)})
+        D.write_strands(strands, self.path, {"format": f"{self.design.format_id:#x}", "version": "{}.{}".format(*VERSION)})
 
     def read(self) -> DataFrame:
         reads = D.read_strands(self.spark, self.path).select(F.element_at("index_ints", 1).alias("file_id"), "dna")

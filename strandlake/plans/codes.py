@@ -9,7 +9,7 @@ from ..functions import convert as C
 from ..functions import gf
 from ..functions.hedges import PATTERNS, Hedges
 from ..functions.rng import u32
-from ..functions.strand import has_run, reverse_complement
+from ..functions.strand import reverse_complement
 from ..operators import codes as K
 from ..operators import outer as O
 from ..operators import packets as P
@@ -250,9 +250,37 @@ def named(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(key, C.utf8_bytes(F.rpad("s_name", 20, " "))).alias("cw"))
 
 
-@add("hedges_encode", f"SELECT s_suppkey AS id, {CODE.length}::BIGINT AS n, FALSE AS runs FROM supplier")
+#: The hash, a step a column, on numbers below 2^64 kept as larger ones.
+_STEPS = (
+    "(word * 3935559000370003845::UHUGEINT + 2691343689449507681::UHUGEINT) % 18446744073709551616::UHUGEINT",
+    "xor(v0::UBIGINT, (v0 // 2097152)::UBIGINT)::UHUGEINT",
+    "xor(v1::UBIGINT, (v1 * 137438953472::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT)::UHUGEINT",
+    "xor(v2::UBIGINT, (v2 // 16)::UBIGINT)::UHUGEINT",
+    "v3 * 4768777513237032717::UHUGEINT % 18446744073709551616::UHUGEINT",
+    "xor(v4::UBIGINT, (v4 * 1048576::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT)::UHUGEINT",
+    "xor(v5::UBIGINT, (v5 // 2199023255552)::UBIGINT)::UHUGEINT",
+    "xor(v6::UBIGINT, (v6 * 32::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT)::UHUGEINT",
+)
+
+
+def _sql_hedges(codewords: str) -> str:
+    """Strands of a code of one bit a base, a base a step, from a table (id, cw)."""
+    bits = f"flatten(list_transform(cw, lambda b: list_transform(range(0, 8), lambda j: (b >> j::INT) & 1))) || {[0] * CODE.tail_bits}"
+    inner = f"SELECT * REPLACE (CASE WHEN k = {CODE.seq_end} THEN 0 ELSE prev END AS prev, CASE WHEN k = {CODE.seq_end} THEN prev ELSE salt END AS salt), bits[k + 1] AS value, 2 * (length(recent) - length(translate(recent, 'AT', ''))) - length(recent) AS skew FROM r WHERE k < {CODE.length}"
+    inner = f"SELECT *, CASE WHEN run > 2 THEN replace('ACGT', right(recent, 1), '') WHEN abs(skew) <= 3 THEN 'ACGT' WHEN skew > 0 THEN 'CG' ELSE 'AT' END AS choices, (k * 256 + prev % 256)::UHUGEINT * 4294967296::UHUGEINT + salt::UHUGEINT AS word FROM ({inner})"
+    for i, step in enumerate(_STEPS):
+        inner = f"SELECT *, {step} AS v{i} FROM ({inner})"
+    inner = f"SELECT *, substr(choices, ((v7 % length(choices)::UHUGEINT)::INT + value) % length(choices) + 1, 1) AS symbol FROM ({inner})"
+    step = f"SELECT id, k + 1, (prev * 2 + value) % 4294967296, salt, right(recent || symbol, 12), CASE WHEN right(recent, 1) = symbol THEN run + 1 ELSE 1 END, dna || symbol, bits FROM ({inner})"
+    return f"WITH RECURSIVE c AS ({codewords}), r(id, k, prev, salt, recent, run, dna, bits) AS (SELECT id, 0, 0::BIGINT, 2779096485::BIGINT, '', 0, '', {bits} FROM c UNION ALL {step}) SELECT id, dna FROM r WHERE k = {CODE.length}"
+
+
+NAMED = f"SELECT s_suppkey AS id, [(s_suppkey % 256)::INT, (s_suppkey // 256 % 256)::INT] || {sql_bytes("hex(encode(rpad(s_name, 20, ' ')))")} AS cw FROM supplier"
+
+
+@add("hedges_encode", _sql_hedges(NAMED))
 def hedges_encode(spark, sf):
-    return K.hedges_encode(named(spark, sf), "cw", "dna", CODE).select("id", big(F.length("dna"), "n"), has_run(F.col("dna"), 4).alias("runs"))
+    return K.hedges_encode(named(spark, sf), "cw", "dna", CODE).select("id", "dna")
 
 
 @add("hedges_decode", "SELECT s_suppkey AS id, rpad(s_name, 20, ' ') AS txt FROM supplier")

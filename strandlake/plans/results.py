@@ -63,10 +63,12 @@ def kmer_shingles(spark, sf):
 
 
 PRIME = 4294967291
-HASHES = [((2654435761 * (2 * h + 1)) % (1 << 31), (40503 * (h + 7) ** 3) % (1 << 31)) for h in range(16)]
+#: Fifty min-hashes; sixteen bands of four of them, which wrap around.
+M, N_BANDS, SAMPLES = 50, 16, 4
+HASHES = [((2654435761 * (2 * h + 1)) % (1 << 31), (40503 * (h + 7) ** 3) % (1 << 31)) for h in range(M)]
 _SIG = ", ".join(f"list_min(list_transform(k, lambda x: ({a} * x + {b}) % {PRIME}))" for a, b in HASHES)
 # Copies of a strand are one row, its smallest id, from here on.
-_BANDS = f"WITH {STRANDS}, u AS (SELECT min(id) AS id, dna FROM strands GROUP BY dna), k AS (SELECT id, dna, {_KMER} AS k FROM u), s AS (SELECT id, dna, [{_SIG}] AS sig FROM k), b AS (SELECT id, dna, unnest(range(0, 4)) AS band, sig FROM s), g AS (SELECT id, dna, band, array_to_string(list_transform(range(1, 5), lambda j: sig[4 * band + j]::VARCHAR), ':') AS key FROM b), p AS (SELECT DISTINCT x.id AS a, y.id AS b, x.dna AS da, y.dna AS db FROM g x JOIN g y ON x.band = y.band AND x.key = y.key AND x.id < y.id)"
+_BANDS = f"WITH {STRANDS}, u AS (SELECT min(id) AS id, dna FROM strands GROUP BY dna), k AS (SELECT id, dna, {_KMER} AS k FROM u), s AS (SELECT id, dna, [{_SIG}] AS sig FROM k), b AS (SELECT id, dna, unnest(range(0, {N_BANDS})) AS band, sig FROM s), g AS (SELECT id, dna, band, array_to_string(list_transform(range(0, {SAMPLES}), lambda j: sig[({SAMPLES} * band + j) % {M} + 1]::VARCHAR), ':') AS key FROM b), p AS (SELECT DISTINCT x.id AS a, y.id AS b, x.dna AS da, y.dna AS db FROM g x JOIN g y ON x.band = y.band AND x.key = y.key AND x.id < y.id)"
 
 
 def _least_hash(a, b):
@@ -85,12 +87,14 @@ def _signatures(reads):
 
 @add("minhash_sig", f"WITH {STRANDS}, k AS (SELECT id, {_KMER} AS k FROM strands) SELECT id, array_to_string(list_transform([{_SIG}], lambda v: v::VARCHAR), ',') AS sig FROM k")
 def minhash_sig(spark, sf):
-    return _signatures(strands(spark, sf)).select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+    """Copies of a strand have one signature, made once."""
+    made = _signatures(distinct_strands(spark, sf)).select("dna", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+    return strands(spark, sf).select("id", "dna").join(made, "dna").select("id", "sig")
 
 
 def _pairs(spark, sf):
     """Pairs of different strands that share a band and are near by edit distance."""
-    bands = _signatures(distinct_strands(spark, sf)).select("id", "dna", F.posexplode(F.transform(C.indexes(4), lambda b: F.array_join(F.slice("sig", b * 4 + 1, F.lit(4)).cast("array<string>"), ":"))).alias("band", "key"))
+    bands = _signatures(distinct_strands(spark, sf)).select("id", "dna", F.posexplode(F.transform(C.indexes(N_BANDS), lambda b: F.array_join(F.transform(C.indexes(SAMPLES), lambda j: F.element_at("sig", F.pmod(b * SAMPLES + j, F.lit(M)) + 1).cast("string")), ":"))).alias("band", "key"))
     x, y = bands.alias("x"), bands.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.dna").alias("da"), F.col("y.dna").alias("db")).distinct()

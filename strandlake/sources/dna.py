@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +30,25 @@ def read_strands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_strands(strands: DataFrame, path: str, comments: dict[str, str] | None = None) -> None:
-    """Lines of (index_ints, dna), comments first in each file's own part."""
-    head = strands.sparkSession.createDataFrame([(f"% {k} : {v}",) for k, v in (comments or {}).items()], "value string")
-    head.union(strands.select(strand_line(F.col("index_ints"), F.col("dna")).alias("value"))).write.text(path)
+    """Lines of (index_ints, dna), with the comments at the head of every file."""
+    head = [f"% {k} : {v}" for k, v in (comments or {}).items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started = not head
+        for batch in batches:
+            if not started:
+                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
+                started = True
+            yield batch
+
+    strands.select(strand_line(F.col("index_ints"), F.col("dna")).alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of the comments of strand files, once each."""
+    lines = spark.read.text(path).select(F.trim("value").alias("t")).where(F.col("t").startswith("%"))
+    parts = F.regexp_extract("t", r"^%\s*(.*?)\s*:\s*(.*)$", 1), F.regexp_extract("t", r"^%\s*(.*?)\s*:\s*(.*)$", 2)
+    return lines.select(parts[0].alias("key"), parts[1].alias("value")).where("key <> ''").distinct()
 
 
 def read_primers(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from strandlake.operators import archive as R
 from strandlake.operators import pipeline as P
 from strandlake.operators.outer import Layout
 from strandlake.sources import runs
+from strandlake.sources.dna import read_comments
 
 DESIGN = R.Design(layout=Layout(120, 15, 5, 3), header_layout=Layout(160, 20, 8, 3))
 
@@ -54,6 +55,10 @@ def test_strand_files(spark, files, tmp_path):
     archive = R.Archive.open(spark, f"file://{tmp_path}/pool", layout=Layout(120, 15, 5, 3), header_layout=Layout(160, 20, 8, 3))
     archive.write(files)
     assert sorted((r["file_id"], bytes(r["content"]), r["sound"]) for r in archive.read().collect()) == sorted((r["file_id"], bytes(r["content"]), True) for r in files.collect())
+    assert {r["key"]: r["value"] for r in read_comments(spark, f"file://{tmp_path}/pool").collect()} == {"format": "0x704", "version": "0.5"}
+    for part in (tmp_path / "pool").glob("part-*"):
+        lines = part.read_text().split("\n")
+        assert len(lines) < 2 or lines[0].startswith("% format")
     with pytest.raises(ValueError):
         R.Archive.open(spark, "x", "nothing")
 
