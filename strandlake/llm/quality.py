@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
+from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +45,31 @@ RESULTS = ("p_quality", "p_toxic", "site_quality", "site_toxic", "keep")
 SHAPES = ("log_words", "distinct", "repeats", "signs", "capitals", "digits", "word_length", "line_repeats")
 
 
+def _distinct(text: str) -> set[str]:
+    """Lower-case words, their beginnings, and runs of signs."""
+    words = set(_TOKEN.findall(text.lower()))
+    return words | {f"^{w[:n]}" for n in PREFIXES for w in words if len(w) > n}
+
+
 def tokens_of(text: str) -> np.ndarray:
     """CRC-32 of each distinct lower-case word, word beginning or run of signs."""
-    words = set(_TOKEN.findall(text.lower()))
-    heads = {f"^{w[:n]}" for n in PREFIXES for w in words if len(w) > n}
-    return np.fromiter(map(zlib.crc32, map(str.encode, words | heads)), np.uint32).view(np.int32)
+    return np.fromiter(map(zlib.crc32, map(str.encode, _distinct(text))), np.uint32).view(np.int32)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each character of the basic plane: 1 if it is no letter or digit, 2 if upper-case, 4 if a digit."""
+    return np.array([(not c.isalnum()) + 2 * c.isupper() + 4 * c.isdigit() for c in map(chr, range(1 << 16))], np.uint8)
+
+
+def _kind_counts(letters: str) -> list[int]:
+    """Signs, capitals and digits of a text."""
+    codes = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32)
+    plain = codes[codes < 1 << 16]
+    counts = np.bincount(_kinds()[plain], minlength=8)
+    for c in () if len(plain) == len(codes) else filter(lambda c: ord(c) >> 16, letters):
+        counts[(not c.isalnum()) + 2 * c.isupper() + 4 * c.isdigit()] += 1
+    return [int(counts[[k for k in range(8) if k & bit]].sum()) for bit in (1, 2, 4)]
 
 
 def shape_of(text: str) -> list[float]:
@@ -54,17 +77,14 @@ def shape_of(text: str) -> list[float]:
     n = len(words)
     if n == 0:
         return [0.0] * len(SHAPES)
-    chars = len(text)
     letters = "".join(words)
     lines = [x for x in text.split("\n") if x]
     return [
         float(np.log1p(n)) / 5,
         len(set(words)) / n,
-        sum(a == b for a, b in zip(words, words[1:])) / n,
-        sum(not c.isalnum() for c in letters) / len(letters),
-        sum(map(str.isupper, letters)) / len(letters),
-        sum(map(str.isdigit, letters)) / len(letters),
-        min(20.0, chars / n) / 10,
+        sum(map(eq, words, words[1:])) / n,
+        *(k / len(letters) for k in _kind_counts(letters)),
+        min(20.0, len(text) / n) / 10,
         1 - len(set(lines)) / max(1, len(lines)),
     ]
 
@@ -76,12 +96,23 @@ class LogisticModel:
         self.weights = dict(zip(tokens.tolist(), weights.tolist()))
         self.shapes, self.centre, self.scale, self.bias = shapes, centre, scale, bias
 
-    def logit(self, tokens: np.ndarray, shape: np.ndarray) -> float:
+    def logit(self, tokens: Iterable[int], shape: np.ndarray) -> float:
         weights = self.weights
-        evidence = sum([weights[t] for t in tokens.tolist() if t in weights])
+        evidence = sum([weights[t] for t in tokens if t in weights])
         return float(np.clip(self.bias + evidence + (np.clip((shape - self.centre) / self.scale, -6, 6) * self.shapes).sum(), -30, 30))
 
 
+class _Telling:
+    """The tokens of a text that some model weighs; most tokens are none."""
+
+    def __init__(self, models: dict[str, LogisticModel]):
+        self.known = {t & 0xFFFFFFFF: t for m in models.values() for t in m.weights}
+
+    def of(self, text: str) -> list[int]:
+        known = self.known
+        return sorted([known[t] for t in known.keys() & map(zlib.crc32, map(str.encode, _distinct(text)))])
+
+
 def fit(tokens: list[np.ndarray], shapes: np.ndarray, labels: np.ndarray, *, features: int = FEATURES, rounds: int = 800, lasso: float = 0.0003, ridge: float = 0.003) -> LogisticModel:
     """Logistic regression over the tokens with the highest chi-square.
 
@@ -165,11 +196,15 @@ def score_documents(rows: DataFrame, models: dict[str, LogisticModel], keep_text
     at = [f.name for f in fields].index("text")
     kept = [i for i in range(len(fields)) if keep_text or i != at]
 
+    kept_words: list[_Telling] = []
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not kept_words:
+            kept_words.append(_Telling(models))
         out: list[list[float]] = [[] for _ in HEADS]
         columns = batch.column(0).flatten()
         for text in texts(columns[at]):
-            tokens, shape = tokens_of(text), np.array(shape_of(text))
+            tokens, shape = kept_words[0].of(text), np.array(shape_of(text))
             for scores, head in zip(out, HEADS):
                 scores.append(models[head].logit(tokens, shape))
         doc = batch.column(0) if keep_text else pa.StructArray.from_arrays([columns[i] for i in kept], fields=[batch.schema.field(0).type.field(i) for i in kept])
