@@ -3,8 +3,9 @@
 A round first joins what each partition can join by itself, then makes a
 large-star and a small-star step over all: each joins every node with the smallest
 of its neighbours, so chains shorten by a constant factor a round and no step
-makes more rows than there are links.  Links that fit in one partition are done
-after the first.  Rounds are cut by tables in the shared folder.
+makes more rows than there are links.  Once no more links are left than one task
+may hold, one executor task joins them all.  Rounds are cut by tables in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ from .common import materialize, release
 
 #: Links that a partition holds before it joins them.
 HELD = 1_000_000
+#: Links that are left to one task at most: 8 MB.
+FEW = 500_000
 
 
 class Forest:
@@ -59,7 +61,7 @@ def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _local(edges: DataFrame) -> DataFrame:
-    """(u, v, part): the links of each partition, as links to the least node that they reach there."""
+    """(u, v): the links of each partition, as links to the least node that they reach there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -71,9 +73,9 @@ def _local(edges: DataFrame) -> DataFrame:
                 held = 0
         if parts:
             u, v = least_reachable(*(np.concatenate(x) for x in zip(*parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.full(len(u), TaskContext.get().partitionId()), pa.int32())], ["u", "v", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return edges.select("u", "v").repartition("u").mapInArrow(run, "u bigint, v bigint, part int")
+    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -88,7 +90,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component) for the nodes of ``links`` (a, b) that are not their own: the smallest node reachable.
 
     Links may come in either order, repeat, or join a node with itself; a link with
@@ -96,12 +98,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     components by themselves, or the smallest of one.
     """
     edges, state = links.where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v")), None
-    for _ in range(max_rounds):
-        before, edges = edges, materialize(_local(edges), "local")
-        if state is not None:
+    for k in range(max_rounds):
+        # what a partition has of links is joined where it is; from then on links are dealt by node
+        before, edges = edges, materialize(_local(edges.repartition("u") if k else edges), "local")
+        if k:
+            release(before)
+        if edges.count() <= few:
+            before, edges = edges, materialize(_local(edges.coalesce(1)), "few")
             release(before)
-        spread = edges.agg(F.min("part").alias("low"), F.max("part").alias("high")).first()
-        if spread["low"] == spread["high"]:
             break
         before, edges = edges, materialize(_star(_star(edges, True), False), "stars")
         release(before)

@@ -215,8 +215,8 @@ def test_pivot_tables_lose_no_link(spark):
     hamming.CHUNK = 4096
 
 
-@pytest.mark.parametrize("partitions", [1, 8])
-def test_components(spark, partitions):
+@pytest.mark.parametrize("partitions, few", [(1, 0), (8, 0), (8, 100), (8, 500_000)])
+def test_components(spark, partitions, few):
     from strandlake.llm.components import components
 
     r = random.Random(partitions)
@@ -224,7 +224,7 @@ def test_components(spark, partitions):
     kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long").repartition(5), few=few).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", kept[0])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
     want = classes(1400, [(a, b) for a, b in links if a is not None])
