@@ -27,7 +27,7 @@ def utf8_bytes(text: Column) -> Column:
 
 def bytes_to_text(values: Column) -> Column:
     """UTF-8 text of an array of byte values; null where it isn't UTF-8."""
-    return F.try_validate_utf8(F.decode(F.unhex(F.concat_ws("", F.transform(values, lambda b: F.lpad(F.hex(b.cast("bigint")), 2, "0")))), "UTF-8"))
+    return F.try_validate_utf8(F.unhex(F.concat_ws("", F.transform(values, lambda b: F.lpad(F.hex(b.cast("bigint")), 2, "0")))).cast("string"))
 
 
 def to_digits(value: Column, base: int, n: int, alphabet: str = "0123456789") -> Column:

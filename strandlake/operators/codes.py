@@ -35,6 +35,11 @@ def with_column(df: DataFrame, name: str, kind: T.DataType, source: str | tuple[
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, four tasks to each: for work that takes long a row, as files of short rows are few."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def crc8_append(cw: Column) -> Column:
     return F.concat(cw, F.array(crc8(cw)))
 
@@ -121,12 +126,12 @@ def hedges_encode(df: DataFrame, column: str, out: str, code: Hedges) -> DataFra
 
 
 def hedges_decode(df: DataFrame, column: str, out: str, code: Hedges, max_guesses: int = 100_000) -> DataFrame:
-    """A strand to codewords; what the search did not reach is null."""
+    """A strand to codewords, the best that the search finds; what it did not reach is null."""
 
     def fn(rows: list) -> list:
-        return [None if s is None else [x for part in code.decode(s, max_guesses)[:2] for x in part] for s in rows]
+        return [None if s is None else [x for part in code.decode(s, max_guesses, settle=True)[:2] for x in part] for s in rows]
 
-    return with_column(df, out, CODEWORDS, column, fn)
+    return with_column(spread(df), out, CODEWORDS, column, fn)
 
 
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -150,20 +155,32 @@ def hedges_orient(df: DataFrame, column: str, out: str, code: Hedges, forward: i
             result.append(other if ahead and lost(other, backward) < ahead else s)
         return result
 
-    return with_column(df, out, T.StringType(), column, fn)
+    return with_column(spread(df), out, T.StringType(), column, fn)
 
 
-def hedges_pick_rate(df: DataFrame, column: str, out: str, codes: dict[str, Hedges], max_guesses: int = 5_000) -> DataFrame:
-    """The name of the code that decodes a strand with the fewest losses; the first of equals."""
+#: Guesses after which a search for the rate first gives up: a strand with few edits is read by its own code in fewer.
+FIRST_GUESSES = 500
 
-    def fn(rows: list) -> list:
-        result = []
-        for s in rows:
-            tries = []
-            for i, (name, code) in enumerate(codes.items()) if s is not None else ():
-                seq, message, _, won = code.decode(s, max_guesses)
-                tries.append((seq.count(None) + message.count(None), not won, i, name))
-            result.append(min(tries)[3] if tries else None)
-        return result
 
-    return with_column(df, out, T.StringType(), column, fn)
+def hedges_pick_rate(df: DataFrame, column: str, out: str, codes: dict[str, Hedges], max_guesses: int = 5_000) -> DataFrame:
+    """The name of the code that decodes a strand with the fewest losses; the first of equals.
+
+    Nothing is better than a code that reaches the end, but an earlier one that does,
+    so codes after it are not tried further; all before it are, to the last guess.
+    """
+
+    def pick(s: str) -> str | None:
+        ends = len(codes)
+        for i, code in enumerate(codes.values()):
+            if code.decode(s, min(FIRST_GUESSES, max_guesses))[3]:
+                ends = i
+                break
+        tries = [(0, False, ends, list(codes)[ends])] if ends < len(codes) else []
+        for i, (name, code) in enumerate(list(codes.items())[:ends]):
+            seq, message, _, won = code.decode(s, max_guesses)
+            tries.append((seq.count(None) + message.count(None), not won, i, name))
+            if won:
+                break
+        return min(tries)[3] if tries else None
+
+    return with_column(spread(df), out, T.StringType(), column, lambda rows: [None if s is None else pick(s) for s in rows])

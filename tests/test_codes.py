@@ -143,3 +143,21 @@ def test_keyed_strands_and_stores(spark):
     assert {r["name"]: r["values"] for r in A.stat_appends(s.unionByName(t).withColumn("o", -F.col("value")), "name", "value", "o").collect()}["y"] == [9, 2]
     points = {n: spark.createDataFrame(p, "x double, y double, label string") for n, p in (("f", [(1.0, 5.0, "a"), (4.0, 1.0, "b")]), ("g", [(2.0, 4.0, "c"), (3.0, 1.0, "d")]))}
     assert [(r["family"], r["x"]) for r in A.combined_frontier(points, "x", "y", "label").collect()] == [("f", 1.0), ("g", 2.0), ("f", 4.0)]
+
+
+def test_the_best_end_is_taken_and_not_the_first():
+    code = Hedges(0.5, seq_bytes=2, message_bytes=20)
+    seq, message = bytes([182, 0]), b"Supplier#000000182  "
+    strand = code.encode(seq, message)
+    worn = strand[:42] + strand[42].translate(str.maketrans("ACGT", "CGTA")) + strand[43:]
+    first, best = code.decode(worn), code.decode(worn, settle=True)
+    assert first[3] and best[3] and bytes(first[1]) != message
+    assert bytes(best[1]) == message and best[2] < first[2]
+
+
+def test_bytes_that_are_no_text_are_null(spark):
+    from pyspark.sql import functions as F
+    from strandlake.functions import convert as C
+
+    rows = spark.createDataFrame([(1, [83, 192, 64]), (2, [83, 195, 164]), (3, [])], "k long, b array<int>")
+    assert {r["k"]: r["t"] for r in rows.select("k", C.bytes_to_text(F.col("b")).alias("t")).collect()} == {1: None, 2: "Sä", 3: ""}
