@@ -161,3 +161,16 @@ def test_bytes_that_are_no_text_are_null(spark):
 
     rows = spark.createDataFrame([(1, [83, 192, 64]), (2, [83, 195, 164]), (3, [])], "k long, b array<int>")
     assert {r["k"]: r["t"] for r in rows.select("k", C.bytes_to_text(F.col("b")).alias("t")).collect()} == {1: None, 2: "Sä", 3: ""}
+
+
+def test_codes_after_one_that_reads_a_strand_are_not_tried(spark):
+    from strandlake.operators.codes import hedges_pick_rate
+
+    class Never:
+        def decode(self, *_):
+            raise AssertionError("tried")
+
+    half, third = Hedges(0.5, seq_bytes=2, message_bytes=4), Hedges(1 / 3, seq_bytes=2, message_bytes=4)
+    rows = spark.createDataFrame([(half.encode(b"ab", b"word"),), (third.encode(b"ab", b"word"),), (None,)], "dna string")
+    got = hedges_pick_rate(rows, "dna", "rate", {"1/3": third, "1/2": half, "never": Never()}).collect()
+    assert sorted((r["dna"] is None, r["rate"] or "") for r in got) == [(False, "1/2"), (False, "1/3"), (True, "")]
