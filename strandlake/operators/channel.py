@@ -160,8 +160,10 @@ def _least_draws(n: Column, k: int, seed: int, stream: str, *ids: Column) -> Col
 
 def mutate_at_distance(dna: Column, distance: int, seed: int, *ids: Column) -> Column:
     """Exactly ``distance`` substitutions (or as many as there are bases), at the places with the least draws."""
-    places = _least_draws(F.length(dna), distance, seed, "place", *ids)
-    return F.concat_ws("", F.transform(indexes(F.length(dna)), lambda i: F.when(F.array_contains(places, i), F.translate(at(dna, i), "ACGT", "CGTA")).otherwise(at(dna, i))))
+    # bound as variables: named in the inner function, strand and places would be made anew for each base
+    strand = F.transform(F.array(dna), lambda d: F.struct(d.alias("d"), _least_draws(F.length(d), distance, seed, "place", *ids).alias("places")))
+    new = lambda s: F.concat_ws("", F.transform(indexes(F.length(s["d"])), lambda i: F.when(F.array_contains(s["places"], i), F.translate(at(s["d"], i), "ACGT", "CGTA")).otherwise(at(s["d"], i))))
+    return F.element_at(F.transform(strand, new), 1)
 
 
 def mutate_same_length(dna: Column, seed: int, *ids: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import archive as R
 from ..operators import channel as N
 from ..operators import cluster as G
 from ..operators import pipeline as P
+from ..operators.codes import spread
 from ..operators.outer import Layout
 from ..streaming import reads as S
 from .base import STRANDS, Family, big, strands, table
@@ -103,7 +104,7 @@ _PLACES = f"(list_transform(list_sort(list_transform(range(0, length(dna)), lamb
 @add("mutate", f"WITH {STRANDS}, p AS (SELECT id, dna, {_PLACES} AS places FROM strands) SELECT id, array_to_string(list_transform(range(0, length(dna)), lambda i: CASE WHEN list_contains(places, i) THEN translate(substr(dna, (i + 1)::INT, 1), 'ACGT', 'CGTA') ELSE substr(dna, (i + 1)::INT, 1) END), '') AS dna FROM p")
 def mutate(spark, sf):
     """Exactly three substitutions, at the three places with the least draws."""
-    s = strands(spark, sf).select("id", "dna")
+    s = spread(strands(spark, sf).select("id", "dna"))
     return s.select("id", N.mutate_at_distance(F.col("dna"), 3, 13, F.col("id")).alias("dna"))
 
 
