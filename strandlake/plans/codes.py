@@ -163,7 +163,7 @@ def rs_check(spark, sf):
 
 @add("rs_inner_decode", f"SELECT p_partkey AS id, {PADDED} AS txt FROM part")
 def rs_inner_decode(spark, sf):
-    coded = K.rs_encode(payload(spark, sf), "cw", 10)
+    coded = K.rs_encode(K.spread(payload(spark, sf)), "cw", 10)
     # four erasures and three errors: 4 + 2 * 3 symbols of parity
     place = lambda k: (F.col("id") * 7 + k * 5) % 34
     lost, wrong = [place(k) for k in range(4)], [place(k) for k in range(4, 7)]
