@@ -131,7 +131,7 @@ def _restored(strands: DataFrame, sizes: DataFrame, layout: O.Layout) -> DataFra
     """(file_id, content) from voted strands, for files of known n_bytes."""
     key = ["file_id", "packet_id"]
     whole = sizes.select("file_id", F.explode(C.indexes(P.packet_count(F.col("n_bytes"), layout.packet_bytes))).alias("packet_id"))
-    fixed = O.correct(O.fill_gaps(whole, strands.where(O.is_valid(F.col("sub"), F.col("slot"), layout)), layout, key), layout, key)
+    fixed = O.restore(whole, strands.where(O.is_valid(F.col("sub"), F.col("slot"), layout)), layout, key)
     return P.reassemble(sizes, O.join_strands(fixed, layout, key), layout.packet_bytes, fill_missing=True).select("file_id", "content")
 
 

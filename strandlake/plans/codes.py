@@ -209,8 +209,7 @@ def index_predicates(spark, sf):
 @add("rs_outer_encode", f"WITH f AS ({FILE_SQL}) SELECT sum((n_bytes + 599) // 600)::BIGINT * 56 AS strands, 0::BIGINT AS worst FROM f")
 def rs_outer_encode(spark, sf):
     coded = O.add_parity(placed(spark, sf), LAYOUT, KEY)
-    columns = coded.groupBy(*KEY, "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", F.hex("data").alias("h")))), lambda s: F.conv(F.substr(s["h"], F.lit(1), F.lit(2)), 16, 10).cast("int")).alias("word"))
-    return columns.agg((F.count(F.lit(1)) * 14).alias("strands"), big(F.max(F.array_max(gf.col_syndromes(F.col("word"), 4))), "worst"))
+    return O.syndromes(coded, LAYOUT, KEY).agg((F.count(F.lit(1)) * 14).alias("strands"), big(F.max("worst"), "worst"))
 
 
 @add("rs_outer_decode", "SELECT doc_id AS file_id, text FROM documents")
@@ -220,7 +219,7 @@ def rs_outer_decode(spark, sf):
     # any four of fourteen sub-packets may be lost: here those that the ids pick
     arrived = coded.where(F.pmod(F.col("sub") * 5 + F.col("file_id") + F.col("packet_id"), F.lit(14)) >= 4)
     keys = P.packetize(f, LAYOUT.packet_bytes).select(*KEY)
-    fixed = O.correct(O.fill_gaps(keys, arrived, LAYOUT, KEY), LAYOUT, KEY)
+    fixed = O.restore(keys, arrived, LAYOUT, KEY)
     back = P.reassemble(f, O.join_strands(fixed, LAYOUT, KEY), LAYOUT.packet_bytes)
     return back.select("file_id", F.decode("content", "UTF-8").alias("text"))
 
@@ -237,7 +236,7 @@ def outer_decode(spark, sf):
     """Three or four of fourteen sub-packets are lost; the data strands come back from the others."""
     coded = O.add_parity(placed(spark, sf), LAYOUT, KEY)
     keys = P.packetize(files(spark, sf), LAYOUT.packet_bytes).select(*KEY)
-    fixed = O.correct(O.fill_gaps(keys, coded.where(F.col("sub") % 4 != 1), LAYOUT, KEY), LAYOUT, KEY)
+    fixed = O.restore(keys, coded.where(F.col("sub") % 4 != 1), LAYOUT, KEY)
     return fixed.select("file_id", big(F.col("packet_id"), "packet_id"), big(F.col("sub") * LAYOUT.slots + F.col("slot"), "strand"), F.hex("data").alias("data"))
 
 

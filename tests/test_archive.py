@@ -111,3 +111,25 @@ def test_result_and_stat_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/split/file=h").collect()] == ["hist=9"]
     (tmp_path / "rates.csv").write_text("Overall Error,0.1,0.2,0.3\n,,,\nDel,0.01,,0.03\n")
     assert [tuple(r) for r in runs.read_rates(spark, f"file://{tmp_path}/rates.csv", "Del").orderBy("pos").collect()] == [(0, 0.01), (2, 0.03)]
+
+
+def test_restoring_is_correcting_a_filled_grid(spark):
+    from pyspark.sql import functions as F
+    from strandlake.operators import outer as O
+
+    layout, key = O.Layout(packet_bytes=70, strand_bytes=8, data=4, parity=3), ["f", "p"]
+    keys = spark.createDataFrame([(f, p) for f in (1, 2, None) for p in range(40)], "f long, p int")
+    strands = keys.select("f", "p", F.explode(F.sequence(F.lit(0), F.lit(layout.strands - 1))).alias("strand"))
+    strands = strands.select(*key, (F.col("strand") / layout.slots).cast("int").alias("sub"), (F.col("strand") % layout.slots).alias("slot"), F.unhex(F.substring(F.md5(F.concat_ws(":", "f", "p", "strand")), 1, 16)).alias("data"))
+    coded = O.add_parity(strands, layout, key)
+    assert coded.count() == 120 * layout.total * layout.slots and O.syndromes(coded, layout, key).where("worst > 0").count() == 0
+    # out of order, some lost, some null, packets without any strand
+    arrived = coded.where("p % 10 < 9 and abs(hash(f, p, sub, slot)) % 5 > 1").withColumn("data", F.when(F.expr("hash(p, sub, slot) % 11 != 0"), F.col("data"))).repartition(7)
+    rows = lambda df: sorted((r["f"] or 0, r["p"], r["slot"], r["sub"], r["data"], r["ok"]) for r in df.withColumn("data", F.hex("data")).na.fill("none", ["data"]).collect())
+    found = O.restore(keys, arrived, layout, key)
+    got = rows(found)
+    # fill_gaps joins by key, where a null finds nothing
+    plain = [r for r in rows(O.correct(O.fill_gaps(keys.where("f is not null"), arrived, layout, key), layout, key))]
+    assert [r for r in got if r[0]] == plain and {r[5] for r in got} == {True, False}
+    whole = found.where("ok").join(strands.withColumnRenamed("data", "was"), [*key, "sub", "slot"])
+    assert whole.count() > 100 and whole.where("data <> was").count() == 0
