@@ -133,3 +133,17 @@ def test_restoring_is_correcting_a_filled_grid(spark):
     assert [r for r in got if r[0]] == plain and {r[5] for r in got} == {True, False}
     whole = found.where("ok").join(strands.withColumnRenamed("data", "was"), [*key, "sub", "slot"])
     assert whole.count() > 100 and whole.where("data <> was").count() == 0
+
+
+def test_syndromes_tell_damaged_slots(spark):
+    from pyspark.sql import functions as F
+    from strandlake.operators import outer as O
+
+    layout = O.Layout(packet_bytes=40, strand_bytes=5, data=4, parity=2)
+    strands = spark.range(60).select((F.col("id") % 20).alias("f"), F.col("id").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("strand"))
+    coded = O.add_parity(strands.select("f", "p", (F.col("strand") / 2).cast("int").alias("sub"), (F.col("strand") % 2).alias("slot"), F.unhex(F.substring(F.md5(F.concat("p", "strand")), 1, 10)).alias("data")), layout, ["f", "p"])
+    # the last byte of one strand of a slot
+    worn = coded.withColumn("data", F.when(F.expr("p % 3 = 0 and sub = 5 and slot = 1"), F.unhex(F.concat(F.substring(F.hex("data"), 1, 8), F.lit("00")))).otherwise(F.col("data")))
+    wrong = coded.join(worn.withColumnRenamed("data", "now"), ["f", "p", "sub", "slot"]).where("data <> now").select("p", "slot").distinct()
+    found = O.syndromes(worn, layout, ["f", "p"])
+    assert found.count() == 120 and {(r["p"], r["slot"]) for r in found.where("worst > 0").collect()} == {(r["p"], r["slot"]) for r in wrong.collect()} != set()
