@@ -7,12 +7,16 @@ partitioning and on any retry.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import indexes
-from ..functions.rng import RANGE, threshold, u32
+from ..functions.gf import crc8_table
+from ..functions.rng import RANGE, grid, threshold, u32
 from ..functions.strand import at, reverse_complement
 
 
@@ -90,6 +94,58 @@ def substitute_only(dna: Column, limit: int, seed: int, *ids: Column) -> Column:
     return F.concat_ws("", F.transform(indexes(F.length(dna)), change))
 
 
+def substitute_digits(digits: np.ndarray, limit: int, seed: int, ids: list[int | None]) -> np.ndarray:
+    """``substitute_only`` on strands of one length as rows of digits 0 to 3, with the same draws."""
+    draw, step = grid(seed, "sub", ids, digits.shape[1], (0, 1))
+    return np.where(draw < limit, (digits + (step % 3 + 1).astype(digits.dtype)) % 4, digits)
+
+
+def _crc8(rows: np.ndarray) -> np.ndarray:
+    table, out = crc8_table().astype(np.uint8), np.zeros(len(rows), np.uint8)
+    for column in rows.T:
+        out = table[out ^ column]
+    return out
+
+
+#: Strands that are stored and read at once.
+STRANDS = 4096
+
+
+def store_and_read(files: DataFrame, size: int, limit: int, seed: int) -> DataFrame:
+    """(doc_id, strands, passed, wrong_bytes) of (doc_id, data): ``size``-byte strands with a checksum, in base 4, after substitutions.
+
+    A strand's id is doc_id * 100000 and its number; it passes if its checksum does.
+    A strand goes through all steps in the task that has its file, so only counts are
+    dealt.  Files without bytes have no strands and no row.
+    """
+    shifts = np.array([0, 2, 4, 6], np.uint8)
+
+    def some(data: np.ndarray, ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        coded = np.concatenate([data, _crc8(data)[:, None]], 1)
+        digits = (coded[:, :, None] >> shifts & 3).reshape(len(coded), -1)
+        noisy = substitute_digits(digits, limit, seed, ids).reshape(len(coded), -1, 4)
+        got = (noisy << shifts).sum(2, dtype=np.uint8)
+        return _crc8(got) == 0, (got[:, :size] != data).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(i, x, n) for i, x in zip(*(c.to_pylist() for c in batch.columns)) if x and (n := -(-len(x) // size))]
+            if not kept:
+                continue
+            data = np.frombuffer(b"".join(x.ljust(n * size, b"\0") for _, x, n in kept), np.uint8).reshape(-1, size)
+            ids = [None if i is None else i * 100_000 + k for i, _, n in kept for k in range(n)]
+            parts = [some(data[at : at + STRANDS], ids[at : at + STRANDS]) for at in range(0, len(data), STRANDS)]
+            ok, wrong = (np.concatenate(x) for x in zip(*parts))
+            counts = np.array([n for _, _, n in kept])
+            first = np.cumsum(counts) - counts
+            found = [counts, np.add.reduceat(ok.astype(np.int64), first), np.add.reduceat(np.where(ok, wrong, 0), first)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in kept], pa.int64()), *(pa.array(x, pa.int64()) for x in found)], names)
+
+    names = ["doc_id", "strands", "passed", "wrong_bytes"]
+    counted = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), "data").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return counted.groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in names[1:]])
+
+
 def apply_pattern(dna: Column, start: Column, pattern: str) -> Column:
     """A burst of I, D and R at consecutive places from ``start``."""
     n = len(pattern)

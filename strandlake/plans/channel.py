@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import convert as C
-from ..functions.gf import crc8, crc8_table
+from ..functions.gf import crc8_table
 from ..functions.rng import RANGE, sql_u32, threshold, u32
 from ..operators import channel as N
-from ..operators.codes import crc8_append
+from ..operators.codes import spread
 from .base import STRANDS, Family, big, sql_bytes, strands, table
 
 family = Family()
@@ -35,19 +35,8 @@ SELECT doc_id, count(*)::BIGINT AS strands, sum(ok::INT)::BIGINT AS passed, sum(
 )
 def archive_roundtrip(spark, sf):
     """Documents to 40-byte strands with checksum, base-4, substitutions, and back: what passes, and how right it is."""
-    data = F.encode("text", "UTF-8")
-    n = F.ceil(F.octet_length("data") / F.lit(40))
-    docs = table(spark, sf, "documents").select("doc_id", data.alias("data"))
-    cut = docs.select("doc_id", F.posexplode(F.transform(C.indexes(n), lambda i: F.substr(F.col("data"), i * 40 + 1, F.lit(40)))).alias("strand", "piece"))
-    h = F.hex(F.expr("rpad(piece, 40, X'00')"))
-    rows = cut.select("doc_id", (F.col("doc_id") * 100000 + F.col("strand")).alias("id"), h.alias("h"))
-    cw = F.transform(C.indexes(40), lambda i: F.conv(F.substr("h", 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
-    coded = rows.select("doc_id", "id", cw.alias("b")).select("doc_id", "id", "b", C.base4_encode(crc8_append(F.col("b"))).alias("dna"))
-    noisy = coded.select("doc_id", "b", N.substitute_only(F.col("dna"), threshold(0.003), 11, F.col("id")).alias("noisy"))
-    back = noisy.select("doc_id", "b", C.base4_decode(F.col("noisy")).alias("got"))
-    wrong = F.size(F.filter(F.arrays_zip("b", F.slice("got", 1, 40).alias("g")), lambda p: p["b"] != p["g"]))
-    seen = back.select("doc_id", (crc8(F.col("got")) == 0).alias("ok"), wrong.alias("wrong"))
-    return seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("strands"), F.count_if("ok").alias("passed"), big(F.sum(F.when(F.col("ok"), F.col("wrong")).otherwise(0)), "wrong_bytes"))
+    docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return N.store_and_read(spread(docs), 40, threshold(0.003), 11)
 
 
 def _sql_count(cdf, draw):

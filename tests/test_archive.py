@@ -147,3 +147,26 @@ def test_syndromes_tell_damaged_slots(spark):
     wrong = coded.join(worn.withColumnRenamed("data", "now"), ["f", "p", "sub", "slot"]).where("data <> now").select("p", "slot").distinct()
     found = O.syndromes(worn, layout, ["f", "p"])
     assert found.count() == 120 and {(r["p"], r["slot"]) for r in found.where("worst > 0").collect()} == {(r["p"], r["slot"]) for r in wrong.collect()} != set()
+
+
+def test_draws_and_strands_in_arrays_are_those_of_columns(spark):
+    from pyspark.sql import functions as F
+    from strandlake.functions import convert as C
+    from strandlake.functions import gf
+    from strandlake.functions.rng import grid, threshold, u32
+    from strandlake.operators import channel as N
+    from strandlake.operators.codes import crc8_append
+
+    ids = [0, 7, None, -3, 10**14]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], "k int, id long").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(120))))
+    for lane, found in enumerate(grid(11, "sub", ids, 121, (0, 1, 2, 3))):
+        assert all(int(found[r["k"], r["i"]]) == r["u"] for r in frame.select("k", "i", u32(11, "sub", F.col("id"), F.col("i"), lane=lane).alias("u")).collect())
+    files = spark.createDataFrame([(1, b"x" * 100), (1, b"y"), (2, b""), (3, None), (None, b"z" * 41), (-4, bytes(range(200)))], "doc_id long, data binary")
+    cut = files.where("length(data) > 0").select("doc_id", F.posexplode(F.transform(C.indexes(F.ceil(F.octet_length("data") / F.lit(40))), lambda i: F.expr("data").substr(i * 40 + 1, F.lit(40)))).alias("strand", "piece"))
+    rows = cut.select("doc_id", (F.col("doc_id") * 100000 + F.col("strand")).alias("id"), F.transform(C.indexes(40), lambda i: F.conv(F.substr(F.hex(F.expr("rpad(piece, 40, X'00')")), 2 * i + 1, F.lit(2)), 16, 10).cast("int")).alias("b"))
+    seen = rows.select("doc_id", "b", C.base4_decode(N.substitute_only(C.base4_encode(crc8_append(F.col("b"))), threshold(0.02), 11, F.col("id"))).alias("got"))
+    wrong = F.size(F.filter(F.arrays_zip("b", F.slice("got", 1, 40).alias("g")), lambda p: p["b"] != p["g"]))
+    want = seen.select("doc_id", (gf.crc8(F.col("got")) == 0).alias("ok"), wrong.alias("w")).groupBy("doc_id").agg(F.count("*"), F.count_if("ok"), F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0)))
+    got = N.store_and_read(files, 40, threshold(0.02), 11)
+    key = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    assert key(got) == key(want) and got.count() == 3
