@@ -121,8 +121,13 @@ def rs_decode(df: DataFrame, column: str, nsym: int) -> DataFrame:
 
 def hedges_encode(df: DataFrame, column: str, out: str, code: Hedges) -> DataFrame:
     """Codewords (sequence bytes first) to a strand."""
-    k = code.seq_bytes
-    return with_column(df, out, T.StringType(), column, lambda rows: [None if cw is None or None in cw else code.encode(bytes(cw[:k]), bytes(cw[k:])) for cw in rows])
+
+    def fn(rows: list) -> list:
+        known = [cw is not None and None not in cw for cw in rows]
+        made = iter(code.encode_all([bytes(cw) for cw, k in zip(rows, known) if k]))
+        return [next(made) if k else None for k in known]
+
+    return with_column(df, out, T.StringType(), column, fn)
 
 
 def hedges_decode(df: DataFrame, column: str, out: str, code: Hedges, max_guesses: int = 100_000) -> DataFrame:
@@ -158,29 +163,27 @@ def hedges_orient(df: DataFrame, column: str, out: str, code: Hedges, forward: i
     return with_column(spread(df), out, T.StringType(), column, fn)
 
 
-#: Guesses after which a search for the rate first gives up: a strand with few edits is read by its own code in fewer.
-FIRST_GUESSES = 500
-
-
 def hedges_pick_rate(df: DataFrame, column: str, out: str, codes: dict[str, Hedges], max_guesses: int = 5_000) -> DataFrame:
     """The name of the code that decodes a strand with the fewest losses; the first of equals.
 
-    Nothing is better than a code that reaches the end, but an earlier one that does,
-    so codes after it are not tried further; all before it are, to the last guess.
+    Nothing is better than the first code that reaches the end, so codes after it are
+    not tried.  Those before it are shown not to reach it for many strands at once
+    (``never_ends``); only a strand that no code reads is searched for its losses.
     """
 
-    def pick(s: str) -> str | None:
-        ends = len(codes)
-        for i, code in enumerate(codes.values()):
-            if code.decode(s, min(FIRST_GUESSES, max_guesses))[3]:
-                ends = i
-                break
-        tries = [(0, False, ends, list(codes)[ends])] if ends < len(codes) else []
-        for i, (name, code) in enumerate(list(codes.items())[:ends]):
-            seq, message, _, won = code.decode(s, max_guesses)
-            tries.append((seq.count(None) + message.count(None), not won, i, name))
-            if won:
+    def fn(rows: list) -> list:
+        result, left = [None] * len(rows), [i for i, s in enumerate(rows) if s is not None]
+        for name, code in codes.items():
+            if not left:
                 break
-        return min(tries)[3] if tries else None
+            never = code.never_ends([rows[i] for i in left], max_guesses)
+            ends = {i for i, no in zip(left, never.tolist()) if not no and code.decode(rows[i], max_guesses)[3]}
+            for i in ends:
+                result[i] = name
+            left = [i for i in left if i not in ends]
+        for i in left if codes else ():
+            lost = {name: sum(x is None for part in code.decode(rows[i], max_guesses)[:2] for x in part) for name, code in codes.items()}
+            result[i] = min(lost, key=lost.get)
+        return result
 
-    return with_column(spread(df), out, T.StringType(), column, lambda rows: [None if s is None else pick(s) for s in rows])
+    return with_column(spread(df), out, T.StringType(), column, fn)

@@ -195,3 +195,37 @@ def test_many_words_with_other_errors_each_are_corrected_at_once():
     right = (plain == words[:, :24]).all(1)
     told = np.arange(20_000) % 10 > 0
     assert ok[told].all() and right[told].all() and not right[~told & ok].any() and ok[~told].mean() < 0.1
+
+
+@pytest.mark.parametrize("rate", list(PATTERNS))
+def test_strands_made_together_are_those_made_one_by_one(rate):
+    r = np.random.default_rng(9)
+    code = Hedges(rate, seq_bytes=3, message_bytes=7)
+    words = [r.integers(0, 256, 10, np.uint8).tobytes() for _ in range(50)] + [b"\0" * 10, b"\xff" * 10, b"", b"ab", b"abcde", b"longer than ten"]
+    assert code.encode_all(words) == [code.encode(w[:3], w[3:]) for w in words]
+    assert code.encode_all([]) == []
+
+
+def test_strands_that_no_search_reads_are_told_together():
+    import time
+
+    codes = [Hedges(r, seq_bytes=2, message_bytes=20) for r in (0.75, 0.5, 0.25)]
+    strands = [codes[1 + i % 2].encode(i.to_bytes(2, "little"), f"Supplier#{i:09d}".ljust(20).encode()) for i in range(200)]
+    began = time.time()
+    assert codes[0].never_ends(strands, 5_000).all()
+    together, began = time.time() - began, time.time()
+    assert not any(codes[0].decode(s, 5_000)[3] for s in strands[:40])
+    # one by one a strand took eight times as long
+    assert together / 200 < (time.time() - began) / 40 / 2
+    assert not codes[1].never_ends(strands[::2], 5_000).any()
+
+
+@given(st.sampled_from(list(PATTERNS)), st.binary(min_size=3, max_size=3), st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["", "A", "CT", "N"])), max_size=4), st.sampled_from([1, 20, 60, 300]))
+@settings(max_examples=60, deadline=None)
+def test_no_strand_that_a_search_reads_is_called_unreadable(rate, data, edits, guesses):
+    strand = Hedges(rate, seq_bytes=1, message_bytes=2).encode(data[:1], data[1:])
+    for at, new in edits:
+        strand = strand[: at % (len(strand) + 1)] + new + strand[at % (len(strand) + 1) + 1 :]
+    for other in PATTERNS:
+        code = Hedges(other, seq_bytes=1, message_bytes=2)
+        assert not (code.never_ends([strand], guesses)[0] and code.decode(strand, guesses)[3])
