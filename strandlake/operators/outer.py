@@ -197,6 +197,48 @@ def add_parity(strands: DataFrame, layout: Layout, key: list[str]) -> DataFrame:
     return _by_packet(_packed(strands, layout, key), layout, key, work, "sub int, slot int, data binary")
 
 
+def _by_row(packets: DataFrame, layout: Layout, key: list[str], width: int, work, schema: str, each: int = 1) -> DataFrame:
+    """``work`` of the bytes of whole packets, (packets, width) with zeros for what a packet lacks, to columns of ``each`` rows a packet; a narrow map."""
+    n, names = len(key), [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKETS):
+                part = batch.slice(at, PACKETS)
+                data = b"".join((x or b"").ljust(width, b"\0")[:width] for x in part.column(n).to_pylist())
+                found = work(np.frombuffer(data, np.uint8).reshape(part.num_rows, width))
+                rows = pa.array(np.repeat(np.arange(part.num_rows), each))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:n]), *found], [*key, *names])
+
+    return packets.select(*key, "data").mapInArrow(run, _fields(packets, key) + schema)
+
+
+def code_packets(packets: DataFrame, layout: Layout, key: list[str]) -> DataFrame:
+    """(key, data): packets with their parity, the strands of ``add_parity`` by sub-packet and slot; a packet is a row, so none is dealt."""
+    n, size = layout.data, layout.strand_bytes
+
+    def work(data: np.ndarray) -> list[pa.Array]:
+        plain = np.zeros((len(data), n * layout.slots * size), np.uint8)
+        plain[:, : data.shape[1]] = data
+        words = plain.reshape(len(data), n, layout.slots * size).transpose(0, 2, 1).reshape(-1, n)
+        coded = rs.encode(words, layout.parity).astype(np.uint8) if layout.parity else words
+        return [_binary(coded.reshape(len(data), -1, layout.total).transpose(0, 2, 1).reshape(len(data), -1))]
+
+    return _by_row(packets, layout, key, layout.packet_bytes, work, "data binary")
+
+
+def packet_syndromes(coded: DataFrame, layout: Layout, key: list[str]) -> DataFrame:
+    """(key, slot, worst) as ``syndromes`` gives them, of what ``code_packets`` gives; missing bytes are zeros."""
+    width = layout.total * layout.slots * layout.strand_bytes
+
+    def work(data: np.ndarray) -> list[pa.Array]:
+        words = data.reshape(len(data), layout.total, -1).transpose(0, 2, 1).reshape(-1, layout.total)
+        worst = rs.syndromes(words, layout.parity).reshape(len(data) * layout.slots, -1).max(1)
+        return [pa.array(np.tile(np.arange(layout.slots, dtype=np.int32), len(data))), pa.array(worst.astype(np.int32))]
+
+    return _by_row(coded, layout, key, width, work, "slot int, worst int", layout.slots)
+
+
 def _numbered(slot: np.ndarray, n: int) -> list[pa.Array]:
     return [pa.array(np.tile(np.arange(n, dtype=np.int32), len(slot))), pa.array(np.repeat(slot, n).astype(np.int32))]
 

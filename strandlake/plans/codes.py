@@ -208,8 +208,8 @@ def index_predicates(spark, sf):
 
 @add("rs_outer_encode", f"WITH f AS ({FILE_SQL}) SELECT sum((n_bytes + 599) // 600)::BIGINT * 56 AS strands, 0::BIGINT AS worst FROM f")
 def rs_outer_encode(spark, sf):
-    coded = O.add_parity(placed(spark, sf), LAYOUT, KEY)
-    return O.syndromes(coded, LAYOUT, KEY).agg((F.count(F.lit(1)) * 14).alias("strands"), big(F.max("worst"), "worst"))
+    coded = O.code_packets(P.packetize(files(spark, sf), LAYOUT.packet_bytes), LAYOUT, KEY)
+    return O.packet_syndromes(coded, LAYOUT, KEY).agg((F.count(F.lit(1)) * 14).alias("strands"), big(F.max("worst"), "worst"))
 
 
 @add("rs_outer_decode", "SELECT doc_id AS file_id, text FROM documents")

@@ -229,3 +229,28 @@ def test_no_strand_that_a_search_reads_is_called_unreadable(rate, data, edits, g
     for other in PATTERNS:
         code = Hedges(other, seq_bytes=1, message_bytes=2)
         assert not (code.never_ends([strand], guesses)[0] and code.decode(strand, guesses)[3])
+
+
+@pytest.mark.parametrize("layout", [Layout(600, 15, 10, 4), Layout(100, 9, 5, 3), Layout(20, 20, 4, 2)])
+def test_packets_coded_whole_are_those_coded_by_strands(spark, layout):
+    from pyspark.sql import functions as F
+    from strandlake.operators import outer as O
+
+    r = np.random.default_rng(3)
+    packets = spark.createDataFrame([(f, p, r.integers(0, 256, layout.packet_bytes, np.uint8).tobytes()) for f, p in ((None, 0), (1, 0), (1, 1), (7, 2))], "file long, packet int, data binary").repartition(3)
+    key = ["file", "packet"]
+    coded = O.code_packets(packets, layout, key)
+    # a packet is a row: nothing is dealt for it
+    assert "hashpartitioning" not in O.packet_syndromes(coded, layout, key)._jdf.queryExecution().toString()
+    strands = {(*x[:2], x["sub"], x["slot"]): bytes(x["data"]) for x in O.add_parity(O.strandize(packets, layout, key), layout, key).collect()}
+    for row in coded.collect():
+        size = layout.strand_bytes
+        for place in range(layout.total * layout.slots):
+            sub, slot = divmod(place, layout.slots)
+            assert row["data"][place * size : place * size + size] == strands[row["file"], row["packet"], sub, slot]
+    assert {(x["slot"], x["worst"]) for x in O.packet_syndromes(coded, layout, key).collect()} == {(i, 0) for i in range(layout.slots)}
+    worn = coded.withColumn("data", F.when(F.col("packet") == 1, F.concat(F.expr("substring(data, 1, 4)"), F.lit(b"\x00\x01"), F.expr("substring(data, 7, 10000)"))).otherwise(F.col("data")))
+    exploded = worn.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(layout.total * layout.slots - 1)), lambda i: F.substr(F.col("data"), i * layout.strand_bytes + 1, F.lit(layout.strand_bytes)))).alias("place", "data"))
+    placed = exploded.select(*key, (F.col("place") / layout.slots).cast("int").alias("sub"), (F.col("place") % layout.slots).alias("slot"), "data")
+    got = {tuple(x) for x in O.packet_syndromes(worn, layout, key).collect()}
+    assert got == {tuple(x) for x in O.syndromes(placed, layout, key).collect()} and any(x[3] for x in got)
