@@ -1,12 +1,18 @@
 """Links between texts whose shingle sets have a Jaccard similarity of a threshold or more.
 
-MinHash bands only propose pairs; those whose signatures agree in far fewer places
-than the threshold lets expect go no further; a link is made where the two sets
-themselves, compared in whole, reach the threshold.  Equal sets are merged first.  As
-components are asked for, a text is first compared with the first text that it
-shares a bucket with, then buckets compare their members with a few of their first
-ones, with more and more, and never two that are connected by then: a group of
-near copies costs its size and not its square, and no pair is left out.
+Equal sets are merged first.  Then SimHash fingerprints within a few bits, found by
+their tables of distances to reference fingerprints (``hamming``), propose pairs,
+and MinHash bands propose those that fingerprints are too far apart for.  Pairs of
+bands whose signatures agree in far fewer places than the threshold lets expect go no
+further; in either case a link is made only where the two sets themselves, compared in
+whole, reach the threshold.  As components are asked for, a text that fingerprints
+did not connect is compared with the first text that it shares a bucket with, then
+buckets compare their members with a few of their first ones, with more and more, and
+never two that are connected by then: a group of near copies costs its size and not
+its square, and no pair is left out.
+
+Texts are sifted where they are (``sieve``), so only those that are compared are
+dealt; joins that move texts or signatures are of one kind at any size.
 
 A text is known by the unique key of its row, so rows may share an id or have none.
 """
@@ -24,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, texts
 from .components import components
-from .hamming import whole_groups
+from .hamming import hamming_links, whole_groups, with_tables
+from .sieve import sieve
 
 #: Thirty bands of five: a pair at 0.8 shares none with a chance of (1 - 0.8 ** 5) ** 30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -62,35 +69,45 @@ def reaches(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return both * least.denominator >= (len(a) + len(b) - both) * least.numerator
 
 
-def shingle_sets(rows: DataFrame, hashes) -> DataFrame:
-    """(row, id, code, n, keys, sig) of (row, id, text): digest and size of the set of ``hashes(text)``, its band keys and signature."""
+def shingle_sets(rows: DataFrame, hashes, fold) -> DataFrame:
+    """(row, id, code, n, keys, sig, print) of (row, id, text): digest and size of the set of ``hashes(text)``, its band keys and signature; ``fold`` of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(t)) for t in texts(batch.column(2))]
+            found = [hashes(t) for t in texts(batch.column(2))]
+            sets = [np.unique(h) for h in found]
             keys, sigs = zip(*[band_keys(s) if len(s) else (np.zeros(0, np.int64), b"") for s in sets]) if sets else ((), ())
             codes = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            found = [pa.array(codes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["row", "id", "code", "n", "keys", "sig"])
+            made = [pa.array(codes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array([fold(h) for h in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["row", "id", "code", "n", "keys", "sig", "print"])
 
-    return rows.select("row", "id", "text").mapInArrow(run, "row bigint, id bigint, code binary, n bigint, keys array<bigint>, sig binary")
+    return rows.select("row", "id", "text").mapInArrow(run, "row bigint, id bigint, code binary, n bigint, keys array<bigint>, sig binary, print binary")
+
+
+def fingerprint_pairs(nodes: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of (node, print): each node with the first of its fingerprint, and that with the first that fingerprints within ``limit`` bits lead to."""
+    distinct = materialize(with_tables(nodes.groupBy(F.col("print").alias("code")).agg(F.min("node").alias("id"))), "codes")
+    same = nodes.join(distinct.select(F.col("code").alias("print"), F.col("id").alias("a")), "print").where(F.col("a") != F.col("node"))
+    far = hamming_links(distinct, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.select("a", F.col("node").alias("b")).unionByName(far).distinct()
 
 
 def _bounds(key: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Rows (key, node, n) of buckets with two members or more."""
+def _buckets(members: DataFrame, start: int) -> DataFrame:
+    """Rows (key, node, component) of buckets with more than ``start`` + 1 members, in two components or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
-            bounds = _bounds(table.column("key").to_numpy())
+            bounds, component = _bounds(table.column("key").to_numpy()), table.column("component").to_numpy()
             size = np.diff(bounds)
-            yield from table.select(["key", "node", "n"]).filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
+            keep = (size > start + 1) & (np.minimum.reduceat(component, bounds[:-1]) < np.maximum.reduceat(component, bounds[:-1]))
+            yield from table.select(["key", "node", "component"]).filter(pa.array(np.repeat(keep, size))).combine_chunks().to_batches()
 
-    dealt = members.select("key", F.lit(0).alias("part"), "node", "n").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key bigint, node bigint, n bigint")
+    dealt = members.select("key", F.lit(0).alias("part"), "node", "component").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key bigint, node bigint, component bigint")
 
 
 def _pairs(shared: DataFrame, start: int, stop: int, least: Fraction) -> DataFrame:
@@ -123,11 +140,13 @@ def _pairs(shared: DataFrame, start: int, stop: int, least: Fraction) -> DataFra
 
 
 def _links(pairs: DataFrame, wanted: DataFrame, hashes, least: Fraction) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets reach the threshold; ``wanted`` has node and text."""
+    """Those pairs (a, b) of nodes, a written table, whose sets reach the threshold; ``wanted`` has node and text."""
+    n = pairs.count()
+    compared = sieve(pairs.select(F.explode(F.array("a", "b"))), 2 * n)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("chunks"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     centers = dealt.select("a", "chunk", F.lit(-1).cast("long").alias("b"), F.col("a").alias("node")).distinct()
-    met = dealt.withColumn("node", F.col("b")).unionByName(centers).join(wanted, "node")
+    met = dealt.withColumn("node", F.col("b")).unionByName(centers).join(wanted.where(compared("node")).hint("merge"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -145,43 +164,46 @@ def _links(pairs: DataFrame, wanted: DataFrame, hashes, least: Fraction) -> Data
     return met.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def representatives(rows: DataFrame, hashes, similarity: float) -> DataFrame:
+def representatives(rows: DataFrame, hashes, fold, similarity: float, limit: int = 2) -> DataFrame:
     """(row): of each class of (row, id, text) the row with the least id, or where none has one, or several, the least row.
 
     A set is that of ``hashes(text)``; rows are of one class that have equal sets or
     are connected by sets whose Jaccard similarity is ``similarity`` or more.
+    ``fold`` makes a fingerprint of the hashes; those within ``limit`` bits are tried first.
     """
     least = Fraction(similarity).limit_denominator(10**6)
-    coded = materialize(shingle_sets(rows, hashes), "sets")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "n", "keys", "sig")
+    coded = materialize(shingle_sets(rows, hashes, fold), "sets")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "n", "keys", "sig", "print")
     merged = coded.groupBy("code").agg(F.min(order).alias("first"))
-    nodes = materialize(merged.select(F.col("first.row").alias("node"), "first.none", "first.id", "first.n", "first.keys", "first.sig"), "nodes")
+    nodes = materialize(merged.select(F.col("first.row").alias("node"), *[f"first.{c}" for c in ("none", "id", "n", "keys", "sig", "print")]), "nodes")
     release(coded)
-    # only texts that share a bucket need their signatures there
-    met = materialize(_shared(nodes.select(F.explode("keys").alias("key"), "node", "n")), "met")
-    shared = materialize(met.join(nodes.select("node", "sig"), "node"), "shared")
-    release(met)
-    wanted = materialize(rows.select(F.col("row").alias("node"), "text").join(shared.select("node").distinct(), "node", "left_semi"), "wanted")
-
-    links, found = None, None
-    labelled, start, stop, only = shared.withColumn("component", F.col("node")), 0, 1, True
+    alone = nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("component"))
+    met = materialize(_buckets(alone, 0), "met")
+    pairs = materialize(fingerprint_pairs(nodes.select("node", "print"), limit), "pairs")
+    # only texts that are proposed anywhere need their signatures and words there
+    proposed = sieve(met.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
+    signed = materialize(nodes.select("node", "n", "sig").where(proposed("node")), "signed")
+    wanted = materialize(rows.select(F.col("row").alias("node"), "text").where(proposed("node")), "wanted")
+
+    links = materialize(_links(pairs, wanted, hashes, least), "links")
+    release(pairs)
+    found = materialize(components(links), "found")
+    start, stop, only = 0, 1, True
     while True:
-        pairs = _pairs(labelled, start, stop, least)
+        # buckets whose members from ``start`` on have not been compared with all others, in two components or more
+        before, now = met, met.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        met = materialize(_buckets(now, start), "open")
+        release(before)
+        if met.isEmpty():
+            break
+        pairs = _pairs(met.join(signed.hint("merge"), "node"), start, stop, least)
         pairs = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if only else pairs.distinct(), "pairs")
-        more = materialize(_links(pairs, wanted, hashes, least), "links")
+        links = links.unionByName(materialize(_links(pairs, wanted, hashes, least), "links"))
         release(pairs)
-        links = more if links is None else links.unionByName(more)
         found = materialize(components(links), "found")
         if not only:
             start, stop = stop, stop * GROWTH
         only = False
-        # buckets whose members from ``start`` on have not been compared with all others, in two components or more
-        now = shared.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"), "sig")
-        open_ = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = open_.where((F.col("size") > start + 1) & (F.col("low") < F.col("high"))).select("key")
-        labelled = materialize(now.join(open_, "key", "left_semi"), "open")
-        if labelled.isEmpty():
-            break
-    release(wanted)
+    release(wanted, signed)
     classes = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
     return materialize(classes.agg(F.min(F.struct("none", "id", "node")).alias("first")).select(F.col("first.node").alias("row")), "first")

@@ -7,7 +7,8 @@ differ too much in any coordinate are discarded, and the others verified
 (``hamming``).  Classes are connected components of the links.
 
 The pipeline's stage asks for a similarity of shingle sets, which fingerprints
-only estimate; it takes the sets themselves (``jaccard``).
+only estimate; near fingerprints propose pairs there, the sets themselves decide, and
+bands find the pairs whose fingerprints are farther apart (``jaccard``).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import map_arrow, materialize, require, texts, with_unique_rows
 from .components import components
 from .hamming import hamming_links, with_tables
 from .jaccard import representatives
+from .sieve import sieve
 
 SEED = 42
 
@@ -83,9 +85,9 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     """``docs``, all columns, with one row of each class of near duplicates: that of the smallest doc_id.
 
     Documents are linked when their sets of shingles have a Jaccard similarity of
-    ``similarity`` or more, just that too, and by nothing else (``jaccard``:
-    fingerprint bands short enough to find such pairs would also bring together most
-    of a large corpus).  A text of fewer words than a shingle is one shingle; texts
+    ``similarity`` or more, just that too, and by nothing else.  Fingerprints within two
+    bits propose pairs; bands of fingerprints short enough to find all such pairs would
+    also bring together most of a large corpus, so ``jaccard`` finds the rest.  A text of fewer words than a shingle is one shingle; texts
     without words, null ones too, are copies of one another.  Every class keeps
     exactly one row: rows without doc_id come after all that have one, and of rows
     that share the smallest doc_id, repeated rows among them, any one stays.  Long
@@ -95,5 +97,8 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     require(docs, "doc_id", "text")
     other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = with_unique_rows(docs.select(F.col("doc_id").cast("long").alias("id"), "text", other.alias("doc")), "rows")
-    first = representatives(rows, partial(shingle_hashes, words=shingle), similarity)
-    return rows.join(first, "row", "left_semi").select(*[F.col("text" if c == "text" else f"doc.`{c}`") for c in docs.columns])
+    first = representatives(rows, partial(shingle_hashes, words=shingle), fold, similarity)
+    # rows that are surely kept stay where they are; only those that may be dropped are dealt
+    doubtful = sieve(materialize(rows.select("row").join(first, "row", "left_anti"), "dropped"))
+    kept = rows.where(~doubtful("row")).unionByName(rows.where(doubtful("row")).join(first.hint("merge"), "row", "left_semi"))
+    return kept.select(*[F.col("text" if c == "text" else f"doc.`{c}`") for c in docs.columns])

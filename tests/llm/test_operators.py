@@ -492,3 +492,44 @@ def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_near_fingerprints_connect_near_duplicates_before_any_band(spark, monkeypatch):
+    from strandlake.llm import jaccard as stage
+
+    r = random.Random(11)
+    pairs = []
+    while len(pairs) < 20:
+        words = [f"w{r.randrange(500)}" for _ in range(300)]
+        other = [*words[:150], "changed", *words[151:]]
+        codes = [simhash.fold(simhash.shingle_hashes(" ".join(x), 5)) for x in (words, other)]
+        if (int.from_bytes(codes[0]) ^ int.from_bytes(codes[1])).bit_count() <= 2:
+            pairs.append((" ".join(words), " ".join(other)))
+    monkeypatch.setattr(stage, "_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(frame).collect()) == list(range(0, 40, 2))
+
+
+def test_texts_that_are_surely_kept_are_not_dealt(spark):
+    frame = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), x -> md5(concat(id, '-', x)))) AS text")
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.count() == 300
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # one side of the union is a filter of the written rows, without a join
+    union = next(i for i, x in enumerate(plan) if "Union" in x)
+    first = plan[union + 1 : next(i for i, x in enumerate(plan) if i > union + 1 and x.lstrip(" :").startswith("+- "))]
+    assert first and not any("Join" in x or "Aggregate" in x for x in first)
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 16])
+def test_a_sieve_lets_every_key_through(spark, monkeypatch, most):
+    from strandlake.llm import sieve
+
+    monkeypatch.setattr(sieve, "MOST", most)
+    keys = spark.range(0, 200_000, 7).selectExpr("id * 8589934592 + id AS k")
+    may = sieve.sieve(keys)
+    passed = spark.range(200_000).selectExpr("id", "id * 8589934592 + id AS k").where(may("k"))
+    own, other = passed.selectExpr("count_if(id % 7 = 0)", "count_if(id % 7 > 0)").first()
+    assert own == 28_572 and (other < 5_000 or most < 1 << 26)
+    none = sieve.sieve(keys.limit(0))
+    assert spark.range(100).where(none("id")).count() == 0
