@@ -510,6 +510,69 @@ def test_near_fingerprints_connect_near_duplicates_before_any_band(spark, monkey
     assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(frame).collect()) == list(range(0, 40, 2))
 
 
+def test_a_group_of_near_copies_makes_no_row_for_each_pair(spark, monkeypatch):
+    from strandlake.llm import jaccard as stage
+
+    made, write = {}, stage.materialize
+
+    def counted(frame, name):
+        out = write(frame, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(stage, "materialize", counted)
+    monkeypatch.setattr(stage, "CHUNK", 64, raising=False)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    data = [edited(words, set(r.sample(range(200), 5 if k % 5 else 1)), k) for k in range(300)]
+    similar = [(i, j, jaccard(data[i], data[j])) for i in range(len(data)) for j in range(i)]
+    want = classes(len(data), [(i, j) for i, j, s in similar if s >= 0.8])
+    assert 50 < len(set(want)) < len(data) and sum(0.6 < s < 0.8 for *_, s in similar) > 30_000
+    frame = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(frame).collect()) == sorted(set(want))
+    # a text has 30 buckets and one pair in each at most; it is dealt once for each other chunk (five here)
+    assert sum(made["pairs"]) <= 30 * len(data) and 300 < sum(made["groups"]) <= 5 * len(data)
+
+
+def test_members_of_other_components_meet_in_a_task(spark, monkeypatch):
+    from strandlake.llm import jaccard as stage
+
+    monkeypatch.setattr(stage, "CHUNK", 4)
+    # nodes 0 to 1: a group that fits a task; 10 to 49: one with a component of 25; 100 to 299: too large, by buckets of 40
+    groups = [range(2), range(10, 50), range(100, 300)]
+    component = {v: 10 if 10 <= v < 35 else v for g in groups for v in g}
+    bucket = {v: [1000 + v // 300] if v < 100 else [2000 + v // 40, 3000 + v % 5] for v in component}
+    pairs = stage.materialize(spark.createDataFrame([(g[0], v) for g in groups for v in g[1:]], "a long, b long"), "pairs")
+    members = spark.createDataFrame([(k, v, component[v], 100) for v in component for k in bucket[v]], "key long, node long, component long, n long")
+    parts = {}
+    for x in stage._groups(pairs, members).collect():
+        parts.setdefault((x["key"], x["part"]), []).append(x["node"])
+    assert all(len(set(p)) == len(p) for p in parts.values())
+    met = {(a, b) for p in parts.values() for a in p for b in p if a < b}
+    want = {(a, b) for g in groups for a in g for b in g if a < b and component[a] != component[b] and (a < 100 or set(bucket[a]) & set(bucket[b]))}
+    assert want <= met and sorted(parts[next(k for k in parts if 0 in parts[k])]) == [0, 1]
+    # those of the large component meet the 15 others and are not dealt to meet each other
+    assert sum(len(set(p) & set(range(10, 35))) for p in parts.values()) == 25 * 4
+
+
+@pytest.mark.parametrize("m", [2, 20, 150])
+def test_sets_are_linked_as_by_brute_force(m):
+    from fractions import Fraction
+
+    from strandlake.llm import jaccard as stage
+
+    r = np.random.default_rng(m)
+    sets = []
+    for i in range(m):
+        old = sets[r.integers(i)] if i and r.random() < 0.7 else r.integers(0, 2**63, 60).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([r.permutation(old)[int(r.integers(8)) :], r.integers(0, 2**63, int(r.integers(8))).astype(np.uint64)])))
+    both = stage.common(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(m) for j in range(i + 1, m))
+    links = [(i, j) for i in range(m) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    a, b = stage.set_links(sets, Fraction(4, 5))
+    assert classes(m, list(zip(a.tolist(), b.tolist()))) == classes(m, links) and len(b) == m - len(set(classes(m, links)))
+
+
 def test_texts_that_are_surely_kept_are_not_dealt(spark):
     frame = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), x -> md5(concat(id, '-', x)))) AS text")
     kept = simhash.drop_near_duplicates(frame)
