@@ -131,12 +131,55 @@ def hedges_encode(df: DataFrame, column: str, out: str, code: Hedges) -> DataFra
 
 
 def hedges_decode(df: DataFrame, column: str, out: str, code: Hedges, max_guesses: int = 100_000) -> DataFrame:
-    """A strand to codewords, the best that the search finds; what it did not reach is null."""
+    """A strand to codewords, the best that the search finds; what it did not reach is null.
 
-    def fn(rows: list) -> list:
-        return [None if s is None else [x for part in code.decode(s, max_guesses, settle=True)[:2] for x in part] for s in rows]
+    A strand may be as near to other words as to its own, and no search can tell which
+    is meant: the word whose bytes are the likeliest at their places is taken, by how
+    often they are there in those strands of ``df`` that are nearest to one word only,
+    the first found of equally likely ones.  In a stream it is the first found.
+    """
+    alike, chances, counts = "_alike", "_chances", "_counts"
+    while {alike, chances, counts} & {c.lower() for c in (*df.columns, out)}:
+        alike, chances, counts = f"_{alike}", f"_{chances}", f"_{counts}"
+
+    def search(rows: list) -> list:
+        return [None if s is None else [[x for part in word for x in part] for word in code.decode_all(s, max_guesses, settle=True)[0]] for s in rows]
+
+    def likeliest(rows: list, found: list) -> list:
+        return [words and words[0 if p is None else p.index(max(p))] for words, p in zip(rows, found)]
+
+    def chance(word: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(word) - 1)
+        return F.aggregate(places, F.lit(0.0), lambda p, i: p + F.log(F.coalesce(F.try_element_at(F.col(counts), i * 256 + F.get(word, i)), F.lit(0)) + F.lit(1.0)))
 
-    return with_column(spread(df), out, CODEWORDS, column, fn)
+    found = with_column(spread(df), alike, T.ArrayType(CODEWORDS), column, search)
+    if df.isStreaming:
+        return found.drop(out).withColumn(out, F.get(alike, F.lit(0))).drop(alike)
+    # dealt again, so that strands are searched once for the counts and the result: both are Arrow maps, which take all
+    # columns, so Spark prunes neither and finds the two exchanges to be the same
+    found = spread(found)
+    ranked = found.withColumn(counts, _byte_counts(found, alike).scalar()).withColumn(chances, F.when(F.size(alike) > 1, F.transform(alike, chance)))
+    return with_column(ranked.drop(counts), out, CODEWORDS, (alike, chances), likeliest).drop(alike, chances)
+
+
+def _byte_counts(found: DataFrame, words: str) -> DataFrame:
+    """One row: how many whole words that are the only one of their strand have a byte at a place; keys are 256 x place + byte."""
+    at = found.columns.index(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            sole = [w[0] for w in batch.column(at).to_pylist() if w is not None and len(w) == 1 and None not in w[0]]
+            for n, members in _by_length(sole).items():
+                keys = np.array([sole[i] for i in members]) + 256 * np.arange(n)
+                new = np.bincount(keys.ravel(), minlength=len(total))
+                new[: len(total)] += total
+                total = new
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(total[keys], pa.int64())], ["key", "n"])
+
+    counted = found.mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
 
 
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")

@@ -254,3 +254,35 @@ def test_packets_coded_whole_are_those_coded_by_strands(spark, layout):
     placed = exploded.select(*key, (F.col("place") / layout.slots).cast("int").alias("sub"), (F.col("place") % layout.slots).alias("slot"), "data")
     got = {tuple(x) for x in O.packet_syndromes(worn, layout, key).collect()}
     assert got == {tuple(x) for x in O.syndromes(placed, layout, key).collect()} and any(x[3] for x in got)
+
+
+def _worn_name(code: Hedges, number: int) -> str:
+    """The strand of a numbered name with one base changed, as in the query."""
+    strand, at = code.encode(number.to_bytes(2, "little"), f"Supplier#{number:09d}".ljust(20).encode()), 20 + number % 40
+    return strand[:at] + strand[at].translate(str.maketrans("ACGT", "CGTA")) + strand[at + 1 :]
+
+
+def test_of_words_as_near_as_each_other_the_likelier_is_taken(spark):
+    from strandlake.operators.codes import hedges_decode
+
+    code = Hedges(0.5, seq_bytes=2, message_bytes=20)
+    # four strands that are as near to another word, among a few that are not
+    numbers = [1571, 1598, 1902, 3187, *range(40, 80)]
+    for number in numbers[:4]:
+        words, _, won = code.decode_all(_worn_name(code, number), settle=True)
+        assert won and len(words) == 2 and (list(number.to_bytes(2, "little")), list(f"Supplier#{number:09d}  ".encode())) in words
+    rows = spark.createDataFrame([(n, _worn_name(code, n), 0) for n in numbers] + [(None, None, 1)], "k int, dna string, _alike int")
+    found = {r["k"]: r for r in hedges_decode(rows.repartition(3), "dna", "cw", code).collect()}
+    assert len(found) == len(numbers) + 1 and found[None]["cw"] is None and found[None]["_alike"] == 1
+    assert [n for n in numbers if bytes(found[n]["cw"]) != n.to_bytes(2, "little") + f"Supplier#{n:09d}  ".encode()] == []
+    # alone, nothing tells which word is meant: the first is taken
+    alone = hedges_decode(rows.where("k = 1598"), "dna", "cw", code).collect()
+    assert [bytes(r["cw"]) for r in alone] == [bytes(b for part in code.decode(_worn_name(code, 1598), settle=True)[:2] for b in part)]
+
+
+def test_an_end_is_found_where_the_search_by_score_runs_out():
+    code = Hedges(0.5, seq_bytes=2, message_bytes=20)
+    worn = _worn_name(code, 28155)
+    assert not code.decode(worn, 20_000)[3]
+    seq, message, _, won = code.decode(worn, 20_000, settle=True)
+    assert won and bytes(seq) == (28155).to_bytes(2, "little") and bytes(message) == b"Supplier#000028155  "
